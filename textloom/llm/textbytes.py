@@ -36,8 +36,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
         n = max(n, SLICE_BYTES + 4096)
-        _pow = np.cumprod(np.concatenate(([1], np.full(n - 1, _P, np.uint64))).astype(np.uint64))
-        _inv = np.cumprod(np.concatenate(([1], np.full(n - 1, _PINV, np.uint64))).astype(np.uint64))
+        _pow, _inv = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_P, _PINV))
     return _pow, _inv
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, need, with_columns
+from .common import extended, need, spool, with_columns
 from .textbytes import HashSet, char_before, raw, segment_sums, slices, string_array, words
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("sentence", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
@@ -37,6 +37,10 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
+
+
 def sentence_of(data: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretch number of each word start, and the byte at which each stretch begins: stretches end after . ! ? and line ends, and with their text."""
     begin = np.zeros(len(data) + 1, bool)
@@ -47,8 +51,12 @@ def sentence_of(data: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[
     return np.searchsorted(at, starts, "right") - 1, at
 
 
-def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, rounds: int = 200, min_docs: int = 3, l2: float = 1e-4, seed: int = 7) -> Model | None:
-    """Fits the noisy-or model; docs and sentences number the words' documents and sentences from 0, toxic is by document."""
+def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, prior: float = 0.5, rounds: int = 250, min_docs: int = 3, l1: float = 0.7, noise: float = 0.02, bias: float = -8.0, seed: int = 7) -> Model | None:
+    """Fits the noisy-or model; docs and sentences number the words' documents and sentences from 0, toxic is by document.
+
+    ``prior`` is the share of toxic documents, whatever it is in the sample; ``noise`` is the chance that a label is wrong, which keeps the model from explaining every label by
+    some rare word; ``bias`` is the score of a sentence without any known word, fixed so that long texts don't add up to toxic ones; ``l1`` is the penalty on a weight, in documents of the smaller kind.
+    """
     n = len(toxic)
     if not len(hashes) or toxic.min(initial=1) == toxic.max(initial=0):
         return None
@@ -67,9 +75,10 @@ def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np
     if toxic[held].min(initial=1) == toxic[held].max(initial=0) or toxic[~held].min(initial=1) == toxic[~held].max(initial=0):
         held[:] = False
     y = toxic.astype(bool)
-    share = np.where(y, 0.5 / max(1, (y & ~held).sum()), 0.5 / max(1, (~y & ~held).sum())) * ~held
+    share = np.where(y, prior / max(1, (y & ~held).sum()), (1 - prior) / max(1, (~y & ~held).sum())) * ~held
+    penalty = l1 * share[y].max()
     w = np.zeros(len(keys) + 1)
-    w[-1] = -6.0
+    w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
@@ -78,27 +87,29 @@ def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np
 
     for k in range(1, rounds + 1):
         z, total = forward()
-        pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 700)), 1.0) * share
-        g = pull[sentence_doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(at, g[sent], len(keys)), g.sum())
-        grad[:-1] += l2 * w[:-1] / max(1, len(keys)) ** 0.5
+        clean = np.exp(-total)
+        pull = (1 - 2 * noise) * clean * np.where(y, -1 / (1 - noise - (1 - 2 * noise) * clean), 1 / (noise + (1 - 2 * noise) * clean)) * share
+        g = pull[sentence_doc] * _sigmoid(z)
+        grad = np.append(np.bincount(at, g[sent], len(keys)), 0.0)
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
-        w -= 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-10)
+        step = 0.15 / (np.sqrt(v / (1 - 0.999**k)) + 1e-7)
+        w -= step * m / (1 - 0.9**k)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * penalty, 0)
     p = -np.expm1(-forward()[1])
     on = held if held.any() else np.ones(n, bool)
     best, threshold = -1.0, 0.5
     for t in np.round(np.arange(0.05, 1, 0.05), 2):
         said = p[on] >= t
-        hit = (said & y[on]).sum()
-        f = 2 * hit / max(1, said.sum() + y[on].sum())
+        hit, wrong = (said & y[on]).sum() / max(1, y[on].sum()) * prior, (said & ~y[on]).sum() / max(1, (~y[on]).sum()) * (1 - prior)
+        f = 2 * hit / max(1e-9, hit + wrong + prior)
         if f > best + 1e-12 or (abs(f - best) <= 1e-12 and abs(t - 0.5) < abs(threshold - 0.5)):
             best, threshold = f, float(t)
     big = np.abs(w[:-1]) >= 1e-3
     return Model(keys[big], w[:-1][big], float(w[-1]), threshold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 7) -> Model | None:
     """Fits on at most ``most`` labelled documents, half of them of either label where there are as many.
 
     The sample is the bound documents by hash of doc_id. Labels without doc_id or toxic don't
@@ -107,6 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 7) ->
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
     per = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    per = spool(per, "labels")
+    n, n_toxic = per.agg(F.count("*"), F.sum("toxic")).first()
+    if not n_toxic or n_toxic == n:
+        return None
     order = F.xxhash64("doc_id", F.lit(seed))
     some = per.where("toxic = 1").orderBy(order).limit(most // 2).union(per.where("toxic = 0").orderBy(order).limit(most // 2))
 
@@ -129,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 7) ->
     doc = np.repeat(np.arange(table.num_rows), n_words)
     pair = doc.astype(np.int64) << 32 | np.asarray(s.flatten()).astype(np.int64)
     _, sentence = np.unique(pair, return_inverse=True)
-    return train(doc, sentence, np.asarray(h.flatten()).view(np.uint64), np.asarray(table["toxic"]))
+    return train(doc, sentence, np.asarray(h.flatten()).view(np.uint64), np.asarray(table["toxic"]), prior=n_toxic / n)
 
 
 def score(docs: DataFrame, model: Model | None, toxic_only: bool | None = None) -> DataFrame:
@@ -166,7 +181,7 @@ def score(docs: DataFrame, model: Model | None, toxic_only: bool | None = None)
                 of_row = np.searchsorted(first, rows)
                 p = -np.expm1(-segment_sums(_softplus(logits), of_row))
                 toxic = p >= threshold
-                ps = 1 / (1 + np.exp(-logits))
+                ps = _sigmoid(logits)
                 row = np.repeat(np.arange(j - i), np.diff(of_row))
                 bad = toxic[row] & (ps >= 0.5)
                 for r in np.flatnonzero(toxic):

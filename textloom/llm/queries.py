@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, toxicity
+from . import decontaminate, linededup, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
@@ -33,6 +37,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_linededup": op4_linededup,
+    "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op10_packing": op10_packing,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, simhash, toxicity
+from . import decontaminate, linededup, packing, simhash, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return df.select(*columns) if columns else df
 
 
+def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.encode(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_tokenids": op8_tokenids,
     "op10_packing": op10_packing,
 }
 

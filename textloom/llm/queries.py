@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, linededup, packing, simhash, tokenids, toxicity
+from . import decontaminate, knn, linededup, packing, simhash, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(_table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,10 +48,12 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_tokenids": op8_tokenids,
+    "op9_knn": op9_knn,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op4_linededup": linededup.ORACLE_SQL,
+    "op9_knn": knn.ORACLE_SQL,
 }

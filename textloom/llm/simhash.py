@@ -112,7 +112,7 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
     n = fps.count()
     roots = None
     if n > 1:
-        bands = max(1, min(4 * partitions(spark), -(-n // 1024)), -(-n // band_rows))
+        bands = max(min(32, -(-n // 1024)), -(-n // band_rows))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import pyspark
@@ -129,14 +129,22 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
         ends = banded.select("band", "low", "high")
         pairs = ends.alias("a").join(F.broadcast(ends).alias("b"), F.expr(f"a.band <= b.band and b.low - a.high <= {radius} and a.low - b.high <= {radius}"))  # a row per band: few, as each is large
         pairs = pairs.select(F.col("a.band").alias("x"), F.col("b.band").alias("y"))
-        left, right = banded.select(F.col("band").alias("x"), F.col("fps").alias("fx")), banded.select(F.col("band").alias("y"), F.col("fps").alias("fy"))
-        tasks = pairs.join(left, "x").join(right, "y").repartition(max(partitions(spark), bands * (bands + 1) // 8), "x", "y")
+        # a band goes once to each pair that it is in, and nothing moves again
+        one = F.broadcast(pairs)
+        left = banded.join(one, F.col("band") == F.col("x")).select("x", "y", F.lit(0).alias("side"), "fps")
+        right = banded.join(one, (F.col("band") == F.col("y")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1).alias("side"), "fps")
+        tasks = left.union(right).repartition(max(partitions(spark), bands * (bands + 1) // 4), "x", "y").sortWithinPartitions("x", "y", "side")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = b = None
             for batch in batches:
                 for k in range(batch.num_rows):
-                    x, y = batch.column("x")[k].as_py(), batch.column("y")[k].as_py()
-                    a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64).reshape(-1, 2) for c in ("fx", "fy"))
+                    x, y, side = (batch.column(c)[k].as_py() for c in ("x", "y", "side"))
+                    b = np.frombuffer(batch.column("fps")[k].as_py(), np.uint64).reshape(-1, 2)
+                    if side == 0:
+                        a = b
+                    if side == 0 and x < y:
+                        continue
                     shift = 0 if x == y else len(a)
                     label = np.arange(len(a) if x == y else len(a) + len(b))
                     links = []

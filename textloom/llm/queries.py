@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, knn, linededup, packing, simhash, tokenids, toxicity
+from . import cotrain, decontaminate, knn, linededup, packing, simhash, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return df.select(*columns) if columns else df
 
 
+def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return cotrain.score(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels"))).drop("text", "lang", "source")
+
+
 def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,6 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotrain": op1_cotrain,
     "op2_decontaminate": op2_decontaminate,
     "op4_linededup": op4_linededup,
     "op6_simhash": op6_simhash,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cotrain, decontaminate, knn, linededup, packing, simhash, tokenids, toxicity
+from . import cotrain, decontaminate, knn, linededup, lm, packing, simhash, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels"))).drop("text", "lang", "source")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_cotrain": op1_cotrain,
     "op2_decontaminate": op2_decontaminate,
     "op4_linededup": op4_linededup,
+    "op5_lm": op5_lm,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_tokenids": op8_tokenids,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cotrain, decontaminate, knn, linededup, lm, packing, simhash, tokenids, toxicity
+from . import cotrain, decontaminate, knn, linededup, lm, packing, simhash, substrings, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,6 +58,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_cotrain": op1_cotrain,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substrings": op3_substrings,
     "op4_linededup": op4_linededup,
     "op5_lm": op5_lm,
     "op6_simhash": op6_simhash,

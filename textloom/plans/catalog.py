@@ -1,12 +1,14 @@
-"""Registered queries over the star tables, each with SQL for the same rows."""
+"""Registered queries over the driver's tables, each with SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus, evaluation, messages  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n_rows"))
+    return corpus.reason_counts(spark, sf_dir)

@@ -152,7 +152,12 @@ def canonical(text: Column) -> Column:
 
 
 def shingles(text: Column, width: int = 3) -> Column:
-    return F.when(F.length(text) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+    """Distinct stretches of so many characters. Shifted arrays of characters are joined: substrings by place would be sought from the start each."""
+    chars = F.split(text, "")
+    made = chars
+    for k in range(1, width):
+        made = F.zip_with(made, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(made, lambda g: g.isNotNull()))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -1,0 +1,436 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from brute import components, decontaminated, hashes, line_deduped, near_groups, toxic_probability
+from conftest import prose
+from pyspark.sql import functions as F
+
+from textloom.llm import common, cotrain, decontaminate, knn, linededup, lm, packing, simhash, substrings, tokenids, toxicity
+from textloom.llm.textbytes import raw, string_array, words
+
+SCHEMA = "doc_id long, text string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+
+
+# 1 co-training
+
+
+def labelled(spark, seed=3, n=300):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        good = rng.random() < 0.7
+        text = prose(rng, 60) if good else " ".join([rng.choice(["buy", "cheap", "now!!", "CLICK"])] * 3 + ["###"] * 5) * 10
+        rows.append((i, text, "en", "web", int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, good int")
+    return df, df.where("doc_id < 120").select("doc_id", F.col("good").alias("quality"))
+
+
+def test_cotrain_learns(spark):
+    df, labels = labelled(spark)
+    made = cotrain.score(df, cotrain.fit(df, labels, grow=40)).where("doc_id >= 120")
+    assert made.where("keep = (good = 1)").count() / made.count() > 0.97
+    again = cotrain.score(df, cotrain.fit(df, labels, grow=40)).where("doc_id >= 120")
+    assert sorted(map(tuple, made.select("doc_id", "quality").collect())) == sorted(map(tuple, again.select("doc_id", "quality").collect()))
+
+
+def test_cotrain_odd_input(spark, messy):
+    df, labels = labelled(spark)
+    model = cotrain.fit(df, labels)
+    out = cotrain.score(messy, model)
+    assert out.count() == messy.count() and out.where("quality is null or keep is null").count() == 0
+    assert set(out.columns) == set(messy.columns) | {"p_content", "p_meta", "quality", "keep"}
+    ones = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    assert cotrain.fit(messy, ones) is None
+    assert cotrain.score(messy, None).where("keep").count() == messy.count()
+    assert cotrain.score(messy.limit(0), model).count() == 0 and cotrain.fit(messy.limit(0), labels) is None
+    assert cotrain.score(messy.select("doc_id", "text"), model).count() == messy.count()
+    mixed = spark.createDataFrame([(8, 1), (9, 0), (10, 1), (11, 0), (5, 1)], "doc_id long, quality int")
+    assert cotrain.score(messy, cotrain.fit(messy, mixed)).count() == messy.count()
+
+
+# 2 decontamination
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(1)
+    vocab = ["Aa", "bb.", "c-c", "dé", "—", "ee"]
+    items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (3, 6, 9, 20, 30)] + ["", None]
+    texts = []
+    for _ in range(60):
+        t = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))
+        it = rng.choice(items[:5]).split(" ")
+        i = rng.randint(0, len(it))
+        texts.append(t + rng.choice([" ", "\n"]) + " ".join(it[i:]) + "  " + t[:10])
+    texts += [None, "", items[3], items[4] + "\n"]
+    bench = spark.createDataFrame([(t,) for t in items + items[:2]], "text string")
+    for group_words in (500_000, 10):
+        got = {r.doc_id: (r.text, r.n_words, r.removed_words) for r in decontaminate.decontaminate(docs_of(spark, texts), bench, group_words=group_words).collect()}
+        assert got == {i: decontaminated(t, items) for i, t in enumerate(texts)}
+
+
+def test_decontaminate_odd_input(spark, messy):
+    bench = messy.where("doc_id between 8 and 10").select("text")
+    out = decontaminate.decontaminate(messy, bench)
+    assert out.count() == messy.count()
+    assert {r.doc_id for r in out.where("removed_words > 0").collect()} >= {8, 9, 10}
+    assert out.where("doc_id is null and n_words = 0").first().text is None
+    assert decontaminate.decontaminate(messy, bench.limit(0)).where("removed_words > 0").count() == 0
+    assert decontaminate.decontaminate(messy.limit(0), bench).count() == 0
+
+
+# 3 substrings
+
+
+def test_compact_windows_hold_every_minimum():
+    rng = np.random.default_rng(0)
+    bounds = np.array([0, 30, 30, 34, 60])
+    order = rng.permutation(60).astype(np.uint64) << np.uint64(30) | np.arange(60, dtype=np.uint64)
+    for least in (1, 5, 26):
+        found = {c: (l, r) for c, l, r in zip(*(x.tolist() for x in substrings.compact_windows(order, bounds, least)))}
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            for i in range(a, b):
+                for j in range(i + least - 1, b):
+                    c = i + int(np.argmin(order[i : j + 1]))
+                    l, r = found[c]
+                    assert a <= l <= i and j <= r < b and int(np.argmin(order[l : r + 1])) + l == c
+
+
+def planted(seed, n=60):
+    rng = random.Random(seed)
+    shared = [prose(rng, 70).split(" ") for _ in range(6)]
+    texts = []
+    for k in range(n):
+        body = prose(rng, rng.randint(20, 120)).split(" ")
+        if k % 2:
+            p = list(rng.choice(shared))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                p[rng.randrange(len(p))] = "changed"
+            i = rng.randint(0, len(body))
+            body[i:i] = p
+        texts.append(" ".join(body))
+    return texts + [texts[1], texts[1], prose(rng, 10), prose(rng, 10), "", None]
+
+
+def test_substrings_against_brute_force(spark):
+    texts = planted(5)
+    got = [tuple(r) for r in substrings.repeats(docs_of(spark, texts)).collect()]
+    s, b = substrings.shingles(string_array(pa.array(texts)))
+    tokens = [(s[i:j] >> np.uint64(32)).astype(np.uint32) for i, j in zip(b[:-1], b[1:])]
+    truth = {(i, j) for i in range(len(texts)) for j in range(i) if substrings.passages(tokens[i], tokens[j], 41, 0.6) or texts[i] and texts[i] == texts[j] and len(tokens[i]) > 40}
+    root = components(len(texts), [(r[0], r[1]) for r in got])
+    found = sum(root[i] == root[j] for i, j in truth)
+    assert len(truth) > 30 and found >= 0.9 * len(truth)
+    exact = {(i, j) for i, j in truth if texts[i] == texts[j]}
+    assert all(root[i] == root[j] for i, j in exact)
+    clean = {i for i in range(0, 60, 2)} - {i for p in truth for i in p}
+    assert clean and not clean & {r[0] for r in got}
+    assert {(a, b, s, e, p, q) for a, b, s, e, p, q, _ in got} == {(b, a, p, q, s, e) for a, b, s, e, p, q, _ in got}
+    assert substrings.repeats(docs_of(spark, texts), broadcast_texts=0).count() == len(got)
+
+
+def test_substrings_odd_input(spark, messy):
+    out = substrings.repeats(messy)
+    pairs = {(r.doc_id, r.partner_id) for r in out.collect()}
+    assert (5, 6) in pairs and (6, 5) in pairs and all(a != b for a, b in pairs)
+    assert substrings.repeats(messy.limit(0)).count() == 0
+
+
+# 4 line dedup
+
+
+def lines(seed, n=40):
+    rng = random.Random(seed)
+    pool = ["Home | About", " Home | About\t", "All rights reserved", "one", "", "  ", "café", "x" * 300]
+    return ["\n".join(rng.choice(pool + [f"own {k} {i}" for i in range(6)]) for _ in range(rng.randint(0, 8))) for k in range(n)] + [None, "", "\n", "one\none\none\none\none"]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_line_dedup_against_brute_force(spark, broadcast_bytes):
+    rows = list(enumerate(lines(2)))
+    got = sorted(map(tuple, linededup.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), broadcast_bytes=broadcast_bytes, shards=3).collect()), key=lambda r: r[0])
+    assert got == line_deduped(rows)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_line_dedup_odd_input(spark, messy, broadcast_bytes):
+    out = linededup.dedup(messy, broadcast_bytes=broadcast_bytes)
+    assert out.count() == messy.count() and set(out.columns) == set(messy.columns) | {"n_lines", "n_removed"}
+    assert sorted(map(str, [tuple(r) for r in out.select("doc_id", "text").collect()])) == sorted(str(r[:2]) for r in line_deduped([tuple(r) for r in messy.select("doc_id", "text").collect()]))
+    assert linededup.dedup(messy.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
+    made = linededup.PerfectHash.build(keys)
+    assert sorted(made.index(keys)) == list(range(len(keys)))
+
+
+# 5 language model
+
+
+def brute_lm(rows, weights, size):
+    seqs = [[None, *hashes(t)] for _, t in rows]
+    uni, ctx, bi = Counter(), Counter(), Counter()
+    for s in seqs:
+        uni.update(s[1:])
+        ctx.update(s[:-1])
+        bi.update(zip(s[:-1], s[1:]))
+    total = sum(uni.values())
+    out = []
+    for (d, _), s in zip(rows, seqs):
+        logp = 0.0
+        for v, w in zip(s[:-1], s[1:]):
+            c = ctx[v] - 1
+            b = min(int(math.log2(c)) + 1 if c > 0 else 0, lm.BUCKETS - 1)
+            p = weights[b][0] * ((bi[v, w] - 1) / c if c else 0) + weights[b][1] * (uni[w] - 1) / (total - 1) + weights[b][2] / (size + 1)
+            logp += math.log(p)
+        out.append((d, len(s) - 1, logp))
+    return out
+
+
+def test_lm_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(150)] + ["", None, "word", "Word word."]
+    texts += texts[:3]
+    rows, seen = list(enumerate(texts)), {}
+    original = lm._weights
+    monkeypatch.setattr(lm, "_weights", lambda cells, size: seen.setdefault((len(seen), size), original(cells, size)))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    a = {r.doc_id: r for r in lm.score(df, shards=3).collect()}
+    b = {r.doc_id: r for r in lm.score(df, broadcast_words=0).collect()}
+    (_, size), weights = next(iter(seen.items()))
+    assert np.allclose(weights, list(seen.values())[1]) and np.allclose(weights.sum(axis=1), 1)
+    for d, n, logp in brute_lm(rows, weights, size):
+        for r in (a[d], b[d]):
+            assert r.n_words == n and abs(r.log_prob - logp) < 1e-3 + 1e-6 * abs(logp)
+            assert (r.perplexity is None) == (n == 0)
+
+
+def test_weights_raise_held_out_likelihood():
+    rng = np.random.default_rng(0)
+    b, p2, p1, n = rng.integers(0, 4, 200), rng.random(200), rng.random(200) * 0.01, rng.integers(1, 9, 200)
+    p2[b == 0] = 0
+    w = lm.learn(b, p2, p1, 1e-4, n)
+    like = lambda w: (n * np.log(w[b, 0] * p2 + w[b, 1] * p1 + w[b, 2] * 1e-4)).sum()
+    for other in ([0.4, 0.5, 0.1], [0.9, 0.05, 0.05], [0.2, 0.7, 0.1]):
+        assert like(w) >= like(np.tile(other, (lm.BUCKETS, 1))) - 1e-6
+
+
+def test_lm_odd_input(spark, messy):
+    for most in (8_000_000, 0):
+        out = lm.score(messy, broadcast_words=most)
+        assert out.count() == messy.count()
+        assert {r.n_words for r in out.where("doc_id in (0, 1, 2, 4)").collect()} == {0}
+    assert lm.score(messy.limit(0)).count() == 0
+    assert lm.score(messy.where("doc_id < 3")).where("log_prob = 0").count() == 3
+
+
+# 6 SimHash
+
+
+@pytest.mark.parametrize("band_rows", [131_072, 20])
+def test_simhash_against_brute_force(spark, band_rows):
+    rng = random.Random(9)
+    base = [prose(rng, 80) for _ in range(25)]
+    texts = base + [t + " extra" for t in base[:10]] + base[:5] + ["", None, "..."] + [prose(rng, 5) for _ in range(10)]
+    root = near_groups(texts, simhash.RADIUS)
+    got = {r.doc_id: (r.group_id, r.keep) for r in simhash.groups(docs_of(spark, texts), band_rows=band_rows).collect()}
+    assert got == {i: (root[i], root[i] == i) for i in range(len(texts))}
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs_of(spark, texts)).collect()) == sorted(set(root))
+
+
+def test_star_contraction_equals_the_driver(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, two = (sorted(map(tuple, common.components(df, on_driver=n).collect())) for n in (10**6, 0))
+    assert one == two
+
+
+def test_simhash_odd_input(spark, messy):
+    out = simhash.groups(messy)
+    assert out.count() == messy.count() and out.where("keep").count() == out.where("keep").select("doc_id", "text_hash").count()
+    kept = simhash.deduplicated(messy)
+    assert kept.columns == messy.columns and kept.where("doc_id in (5, 6)").count() == 1
+    assert kept.where("doc_id in (0, 1, 2, 4)").count() == 4 and simhash.groups(messy.limit(0)).count() == 0
+
+
+# 7 toxicity
+
+
+def toxic_corpus(seed=4, n=400):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        s = [prose(rng, 8).replace(".", "").replace("\n", " ") for _ in range(rng.randint(1, 12))]
+        bad = rng.random() < 0.2
+        if bad:
+            s[rng.randrange(len(s))] += " vile " + rng.choice(["scumbag", "filth"])
+        rows.append((i, ". ".join(s) + ".", int(bad)))
+    return rows
+
+
+def test_toxicity_finds_documents_and_sentences(spark):
+    rows = toxic_corpus()
+    df = spark.createDataFrame(rows, SCHEMA + ", bad int")
+    model = toxicity.fit(df, df.where("doc_id < 250").select("doc_id", F.col("bad").alias("toxic")))
+    got = toxicity.score(df, model).collect()
+    assert np.mean([r.toxic == (r.bad == 1) for r in got if r.doc_id >= 250]) > 0.97
+    for r in got:
+        p, n = toxic_probability(r.text, model)
+        assert abs(p - r.p_toxic) < 1e-9 and n == r.n_sentences
+        if r.toxic and r.bad:
+            assert any("vile" in r.text[s.start : s.end] for s in r.offending)
+            assert all("vile" in r.text[s.start : s.end] for s in r.offending if s.p > 0.9)
+
+
+def test_toxicity_odd_input(spark, messy):
+    df = spark.createDataFrame(toxic_corpus(), SCHEMA + ", bad int")
+    model = toxicity.fit(df, df.select("doc_id", F.col("bad").alias("toxic")))
+    out = toxicity.score(messy, model)
+    assert out.count() == messy.count() and out.where("doc_id in (0, 1, 2, 4) and (toxic or n_sentences > 0)").count() == 0
+    assert toxicity.fit(messy, spark.createDataFrame([(None, 1), (8, None), (9, 0)], "doc_id long, toxic int")) is None
+    assert toxicity.score(messy, None).where("toxic").count() == 0 and toxicity.score(messy.limit(0), model).count() == 0
+    assert toxicity.fit(messy.limit(0), messy.limit(0).select("doc_id", F.lit(1).alias("toxic"))) is None
+
+
+# 8 token ids
+
+
+def test_token_ids_round_trip(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(0, 200)) for _ in range(40)] + ["", None, "  two  spaces\n\n\ttab", "it's I'll 3,000.50 naïve 你好 😀 x", "\0zero", " ", "a\r\nb", "<|endoftext|>"]
+    rows = tokenids.encode(docs_of(spark, texts), shard_ids=500).collect()
+    enc, seen = tokenids.encoding(tokenids.VOCABULARY), {}
+    for r in rows:
+        reader = tokenids.ShardReader(r)
+        assert len(reader) == r.n_docs
+        for i, d in enumerate(reader.doc_ids):
+            seen[d] = reader[i].tolist()
+    assert len(rows) >= 3 and set(seen) == set(range(len(texts)))
+    for d, ids in seen.items():
+        assert ids == enc.encode(texts[d] or "", disallowed_special=()) and enc.decode(ids) == (texts[d] or "")
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(2)
+    for values in ([], [0], [0, 0, 0], [5], np.sort(rng.integers(0, 10**9, 3000)), np.repeat([7, 8], 700)):
+        ef = tokenids.EliasFano.build(np.array(values, np.int64))
+        assert [ef.select(i) for i in range(len(values))] == list(values) == ef.all().tolist()
+    big = np.sort(rng.integers(0, 10**9, 3000))
+    ef = tokenids.EliasFano.build(big)
+    size = len(ef.low) + ef.high.nbytes + ef.samples.nbytes
+    assert size * 8 / 3000 < 2.5 + np.log2(1e9 / 3000)
+    with pytest.raises(IndexError):
+        ef.select(3000)
+
+
+def test_token_ids_odd_input(spark, messy):
+    rows = tokenids.encode(messy).collect()
+    assert sum(r.n_docs for r in rows) == messy.count() and sum(r.doc_ids.count(None) for r in rows) == 2
+    assert tokenids.encode(messy.limit(0)).count() == 0
+
+
+# 9 nearest neighbours
+
+
+def brute_knn(rows, k):
+    out = []
+    for i, v in rows:
+        d = sorted((math.dist(v, w), j) for j, w in rows if j != i)[:k]
+        out += [(i, j, r + 1) for r, (_, j) in enumerate(d)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pivots", [None, 1, 25])
+def test_knn_against_brute_force(spark, pivots):
+    rng = np.random.default_rng(1)
+    v = np.concatenate((rng.integers(0, 4, (120, 3)), rng.normal(size=(80, 3)) * 5 + 20)).astype(np.float32)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.neighbor_id, r["rank"]) for r in knn.knn_join(df, k=7, pivots=pivots).collect())
+    assert got == brute_knn(rows, 7)
+
+
+def test_knn_odd_input(spark):
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 0.5]), (3, None), (None, [0.0, 0.0]), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"cell": F.lit(1), "id": F.lit("x"), "rank": F.lit(0)})
+    got = sorted((r.vec_id, r.neighbor_id) for r in knn.knn_join(df, k=5).collect())
+    assert got == [(1, 2), (1, 2), (2, 1), (2, 1)]
+    assert knn.knn_join(df.limit(0)).count() == 0 and knn.knn_join(df.where("vec_id = 3")).count() == 0
+
+
+# 10 packing
+
+
+def check_packed(rows, lengths, window):
+    """Every word once, nothing beyond a window, no two pieces in one place."""
+    used = {}
+    for r in rows:
+        used.setdefault(r.pack_id, []).append((r.pack_offset, r.pack_offset + r.n_words))
+        assert r.start_word == r.piece * window
+    for spans in used.values():
+        spans.sort()
+        assert spans[-1][1] <= window and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    words_of = Counter()
+    for r in rows:
+        words_of[r.doc_id] += r.n_words
+    assert words_of == Counter({d: n for d, n in lengths.items() if n})
+    return len(used)
+
+
+def test_packing(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, rng.choice([3, 20, 31, 64, 100, 150, 256, 300])) for _ in range(300)] + ["", None, " "]
+    rows = packing.pack(docs_of(spark, texts), window=256, granule=16).collect()
+    lengths = {i: len((t or "").split()) for i, t in enumerate(texts)}
+    n = check_packed(rows, lengths, 256)
+    assert n <= 1.1 * sum(-(-min(256, k - p) // 16) * 16 for k in lengths.values() for p in range(0, k, 256)) / 256 + 2
+    assert sorted({r.pack_id for r in rows}) == list(range(n))
+
+
+def test_nnls_against_projected_gradient():
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        a, b = rng.random((8, 14)), rng.random(8) * 10
+        x, y = packing.nnls(a, b), np.zeros(14)
+        step = 1 / np.linalg.norm(a.T @ a, 2)
+        for _ in range(20_000):
+            y = np.maximum(0, y - step * a.T @ (a @ y - b))
+        assert (x >= 0).all() and np.linalg.norm(a @ x - b) <= np.linalg.norm(a @ y - b) + 1e-6
+
+
+def test_plan_uses_the_histogram_up():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        h = rng.integers(0, 50, 16)
+        made = packing.plan(h)
+        used = np.zeros(16, int)
+        for combo, n in made:
+            assert sum(combo) <= 16 and n > 0
+            for b in combo:
+                used[b - 1] += n
+        assert used.tolist() == h.tolist()
+
+
+def test_packing_odd_input(spark, messy):
+    rows = packing.pack(messy).collect()
+    assert sum(r.n_words for r in rows if r.doc_id == 5) == 120_000 and any(r.doc_id is None for r in rows)
+    assert packing.pack(messy.limit(0)).count() == 0
+
+
+# what they share
+
+
+def test_words_of_bytes():
+    h, starts, ends, rows, data = words(pa.array(["Ab, c!", "", "AB C", "..."]))
+    assert len(h) == 4 and h[0] == h[2] and h[1] == h[3] and rows.tolist() == [0, 2, 2, 4, 4]
+    assert raw(pa.array([], pa.string()))[1].tolist() == [0]

@@ -37,6 +37,17 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df doesn't have: underscores are added until none of its columns is so called, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def extended(df: DataFrame, **added: T.DataType) -> tuple[T.StructType, list[str]]:
     """Schema of df with columns added, and the columns kept: one of an added name is replaced."""
     kept = [f for f in df.schema.fields if f.name not in added]

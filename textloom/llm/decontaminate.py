@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, need
+from .common import extended, fresh, need
 from .textbytes import ALNUM, U64, WS, HashSet, mix, raw, runs, slices, span_hash, string_array
 
 _PAIR = U64(0x9FB21C651E98DF25)
@@ -176,28 +176,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_length: int = 13, c
     need(benchmark, "text")
     spark = docs.sparkSession
     found = detectors(benchmark, min_length, coverage, floor, group_words)
-    df = docs
+    df, (held,) = docs, fresh(docs, "__spans")
     for g, detector in enumerate(found):
         sent = spark.sparkContext.broadcast(detector)
         last = g == len(found) - 1
-        schema, kept = extended(df, **({"n_words": T.IntegerType(), "removed_words": T.IntegerType(), "spans": SPANS} if last else {"__spans": SPANS}))
+        schema, kept = extended(df, **({"n_words": T.IntegerType(), "removed_words": T.IntegerType(), "spans": SPANS} if last else {held: SPANS}))
         if last:
-            schema = T.StructType([f for f in schema.fields if f.name != "__spans"])
+            schema = T.StructType([f for f in schema.fields if f.name != held])
             schema["text"].nullable = True
-        kept = [k for k in kept if k != "__spans"]
+        kept = [k for k in kept if k != held]
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, first=g == 0, kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a = string_array(batch.column("text"))
-                before = None if first else batch.column("__spans").to_pylist()
+                before = None if first else batch.column(held).to_pylist()
                 for i, j in slices(a):
-                    yield _one(batch, a, i, j, sent.value, before, last, kept)
+                    yield _one(batch, a, i, j, sent.value, before, "spans" if last else held, last, kept)
 
         df = df.mapInArrow(run, schema)
     return df
 
 
-def _one(batch: pa.RecordBatch, a: pa.Array, i: int, j: int, detector: Detector, before: list | None, last: bool, kept: list[str]) -> pa.RecordBatch:
+def _one(batch: pa.RecordBatch, a: pa.Array, i: int, j: int, detector: Detector, before: list | None, name: str, last: bool, kept: list[str]) -> pa.RecordBatch:
     part = a.slice(i, j - i)
     h, starts, ends, rows = tokens_of(part)
     solid = np.flatnonzero(h)
@@ -223,7 +223,7 @@ def _one(batch: pa.RecordBatch, a: pa.Array, i: int, j: int, detector: Detector,
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(s - first[row], pa.int32()), pa.array(e - first[row], pa.int32())], fields=list(_SPANS.value_type)))
     columns = {k: batch.column(k).slice(i, j - i) for k in kept}
     if not last:
-        return pa.RecordBatch.from_arrays([*columns.values(), lists], names=[*columns, "__spans"])
+        return pa.RecordBatch.from_arrays([*columns.values(), lists], names=[*columns, name])
     removed = np.bincount(row, e - s, j - i).astype(np.int64)
     if len(s):
         data, off = raw(part)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, need, partitions, spool, with_columns
+from .common import extended, fresh, need, partitions, spool, with_columns
 from .textbytes import U64, WS, mix, raw, slices, span_hash, string_array
 
 _NO_DOC = (1 << 63) - 1
@@ -232,11 +232,12 @@ def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadc
         return docs.mapInArrow(run, schema)
 
     # rows of one doc_id and one text share their fate, so these two are the key on which removed lines come back
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    key_name, doc_name, gone_name, own_name, right_key = fresh(docs, "__key", "__doc", "__gone", "__own", "__right")
+    keyed = docs.withColumn(key_name, F.xxhash64("text"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, ids, key = string_array(batch.column("text")), _ids(batch.column("doc_id")), np.asarray(batch.column("__key"))
+            a, ids, key = string_array(batch.column("text")), _ids(batch.column("doc_id")), np.asarray(batch.column(2))
             for i, j in slices(a, 8 << 20):
                 _, _, h, rows = lines_of(a.slice(i, j - i))
                 row = np.repeat(np.arange(i, j), np.diff(rows))
@@ -253,14 +254,14 @@ def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadc
         own = owners == left["doc"].to_numpy()
         return out.append_column("own", pa.array(own)).filter(pa.array(counts >= min_count))
 
-    asked = keyed.select("doc_id", "text", "__key").mapInArrow(hashes, "shard int, h long, doc long, key long")
+    asked = keyed.select("doc_id", "text", key_name).mapInArrow(hashes, "shard int, h long, doc long, key long")
     answers = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "h long, doc long, key long, own boolean")
-    per_doc = answers.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("own"), F.col("h"))).alias("__gone"), F.collect_set(F.when(F.col("own"), F.col("h"))).alias("__own"))
-    joined = keyed.join(per_doc, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)) == F.col("doc")) & (F.col("__key") == F.col("key")), "left").drop("doc", "key", "__key")
+    per_doc = answers.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("own"), F.col("h"))).alias(gone_name), F.collect_set(F.when(F.col("own"), F.col("h"))).alias(own_name)).withColumnsRenamed({"doc": doc_name, "key": right_key})
+    joined = keyed.join(per_doc, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)) == F.col(doc_name)) & (F.col(key_name) == F.col(right_key)), "left").drop(doc_name, right_key, key_name)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [(np.asarray(c.fill_null([]).value_lengths()), np.asarray(c.fill_null([]).flatten()).view(np.uint64)) for c in (batch.column("__gone"), batch.column("__own"))]
+            lists = [(np.asarray(c.fill_null([]).value_lengths()), np.asarray(c.fill_null([]).flatten()).view(np.uint64)) for c in (batch.column(gone_name), batch.column(own_name))]
 
             def gone(i, j, h, rows, lists=lists):
                 row = np.repeat(np.arange(i, j), np.diff(rows))

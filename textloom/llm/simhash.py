@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import components, local_labels, need, partitions, spool
+from .common import components, fresh, local_labels, need, partitions, spool
 from .textbytes import U64, mix, slices, string_array, words
 
 RADIUS = 22
@@ -191,7 +191,6 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072
     """docs with one document of each group, as ``groups`` has it; all columns as they are."""
     need(docs, "doc_id", "text")
     found = spool(groups(docs, radius, band_rows), "groups")
-    key = [F.col("doc_id"), F.xxhash64("text")]
     away = found.groupBy("doc_id", "text_hash").agg(F.max("keep").alias("stays"), F.count("*").alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"))
     gone, thin = away.where("not stays"), away.where("stays and kept < n")
     match = lambda d, k: d["doc_id"].eqNullSafe(k["doc_id"]) & (F.xxhash64(d["text"]) == k["text_hash"])
@@ -200,5 +199,6 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072
         return left
     # rows equal in doc_id and text, of which one stays
     single = left.join(thin, match(left, thin), "left_anti")
-    repeated = left.join(thin, match(left, thin), "left_semi").withColumn("__key", key[1]).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    (name,) = fresh(docs, "__key")
+    repeated = left.join(thin, match(left, thin), "left_semi").withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
     return single.unionByName(repeated)

@@ -202,8 +202,8 @@ def schema(doc_id: T.DataType) -> T.StructType:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, shard_ids: int = 8_000_000) -> DataFrame:
     """A row per shard: ids of its documents' texts side by side, doc_ids in that order, and their ends in Elias-Fano code.
 
-    Ids are two bytes each, or four where the vocabulary needs it. A shard closes with the document that brings it to
-    ``shard_ids``; no row is moved between partitions. ``shard`` is partition-number. A text is encoded whole,
+    Ids are two bytes each, or four where the vocabulary needs it. A shard closes with the stretch of documents, of about 1 MB of text,
+    that brings it to ``shard_ids``; no row is moved between partitions. ``shard`` is partition-number. A text is encoded whole,
     so decoding its ids gives it back to the byte. A null or empty text has no ids, and its end equals the one before;
     null and repeated doc_ids are kept in place. Other columns are not read. An empty table gives no shard.
     """

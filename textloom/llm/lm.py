@@ -63,10 +63,10 @@ def learn(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, n: np.ndarra
 
 def log_probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: int, size: int, weights: np.ndarray) -> np.ndarray:
     """Of an occurrence, from counts of its pair, word and context over all documents, less the occurrence itself."""
-    c = context - 1
+    c = context.astype(np.int64) - 1
     b = bucket(c)
     p2 = np.where(c > 0, (pair - 1) / np.maximum(c, 1), 0.0)
-    p1 = (word - 1) / max(1, total - 1)
+    p1 = (word.astype(np.int64) - 1) / max(1, total - 1)
     return np.log(weights[b, 0] * p2 + weights[b, 1] * p1 + weights[b, 2] / (size + 1))
 
 
@@ -84,6 +84,16 @@ def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _words(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the first of each text: tokenised in shorter stretches, of which only the hashes stay."""
+    made, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in slices(a):
+        h, _, _, rows, _ = words(a.slice(i, j - i))
+        made.append(h)
+        counts.append(np.diff(rows))
+    return np.concatenate(made), np.cumsum(np.concatenate(counts))
+
+
 def _held(batch: pa.RecordBatch, percent: int) -> np.ndarray:
     return np.asarray(batch.column(2)) % 100 < percent
 
@@ -100,7 +110,7 @@ def vocabulary_table(docs: DataFrame, held_percent: int = 10) -> DataFrame:
         for batch in batches:
             a, held = string_array(batch.column(1)), _held(batch, held_percent)
             for i, j in slices(a, _SLICE):
-                h, _, _, rows, _ = words(a.slice(i, j - i))
+                h, rows = _words(a.slice(i, j - i))
                 full = rows[1:] > rows[:-1]
                 train = np.repeat(~held[i:j], np.diff(rows))
                 inner = np.ones(len(h), bool)
@@ -118,7 +128,7 @@ def vocabulary_table(docs: DataFrame, held_percent: int = 10) -> DataFrame:
 
 def _pairs(a: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context << 32 | word, text) of every word, by places in the vocabulary, and the words of each text."""
-    h, _, _, rows, _ = words(a)
+    h, rows = _words(a)
     at = v.find(h).astype(np.uint64)
     before = np.empty_like(at)
     before[1:] = at[:-1]
@@ -172,6 +182,7 @@ def _learn_weights(docs: DataFrame, sent, shards: int, held_percent: int, total:
 
 
 def _histogram(c2: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, total: int) -> pa.Table:
+    context = context.astype(np.int64)
     b = bucket(context)
     q2, q1 = (np.where(x > 0, np.round(-_STEPS * np.log2(np.maximum(x, 1e-300))), -1).astype(np.int64) for x in (np.where(context > 0, c2 / np.maximum(context, 1), 0), word / max(1, total)))
     cell, at = np.unique((b << 40) | (q2 + 1 << 20) | (q1 + 1), return_inverse=True)
@@ -185,7 +196,7 @@ def _weights(cells: DataFrame, size: int) -> np.ndarray:
     return learn(t.b.to_numpy(), p2, p1, 1 / (size + 1), t.n.to_numpy())
 
 
-def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, broadcast_words: int = 8_000_000, shard_words: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, broadcast_words: int = 8_000_000, shard_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, log_prob and perplexity of every row of docs.
 
     A word is a run outside white space, in lower case, by its letters and digits. Its probability mixes the maximum-likelihood
@@ -209,12 +220,13 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
         return docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
     if size > broadcast_words:
         return _joined(docs, table, size, total, total_train, held_percent)
-    t = table.orderBy("n", "h").toArrow()
+    t = table.toArrow()
     h = t["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
+    order = np.argsort(h, kind="stable")
     start = np.flatnonzero(h[order] == _START)
     order = np.concatenate((np.delete(order, start), order[start]))
-    columns = [t[c].to_numpy()[order] for c in ("n", "n_train", "context", "context_train")]
+    kind_ = np.uint32 if total < 1 << 32 else np.int64
+    columns = [t[c].to_numpy()[order].astype(kind_) for c in ("n", "n_train", "context", "context_train")]
     sent = spark.sparkContext.broadcast(Vocabulary(h[order][:-1], *columns))  # at most broadcast_words words
     shards = shards or max(partitions(spark), -(-total // shard_words))
     weights = _learn_weights(docs, sent, shards, held_percent, total_train or 0, size)
@@ -280,7 +292,7 @@ def _joined(docs: DataFrame, table: DataFrame, size: int, total: int, total_trai
         for batch in batches:
             a, held = string_array(batch.column(1)), _held(batch, held_percent)
             for i, j in slices(a, _SLICE):
-                h, _, _, rows, _ = words(a.slice(i, j - i))
+                h, rows = _words(a.slice(i, j - i))
                 before = np.empty_like(h)
                 before[1:] = h[:-1]
                 before[rows[:-1][rows[1:] > rows[:-1]]] = _START

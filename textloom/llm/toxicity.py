@@ -104,7 +104,8 @@ def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np
         v += 0.001 * (grad * grad - v)
         step = 0.15 / (np.sqrt(v / (1 - 0.999**k)) + 1e-7)
         w -= step * m / (1 - 0.9**k)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * penalty, 0)
+        # where the slope is flat the step is wide: without a bound the penalty would bring a weight to 0 at once
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(step[:-1] * penalty, 1.0), 0)
     p = -np.expm1(-forward()[1])
     on = held if held.any() else np.ones(n, bool)
     best, threshold = -1.0, 0.5

@@ -14,7 +14,7 @@ def test_cascade_equals_sequential_sets(spark):
     for i, label, t in rows:
         import re
 
-        keys = (label, t), (label, re.sub(r"[\W_]+", "", re.sub(r"\d+", "0", t.lower()))[:80])
+        keys = (label, t), (label, "".join(re.findall(r"[^\W_]+", re.sub(r"\d+", "0", t.lower())))[:80])
         why = next((n for n, k, s in zip(("duplicate", "near-duplicate"), keys, seen) if k in s), None)
         if why is None or why == "near-duplicate":
             seen[0].add(keys[0])
@@ -154,7 +154,7 @@ def test_selection_opens_fallback_on_quality_only(spark):
 
 
 def test_admission_is_sequential():
-    rules = [{"id": "r", "labels": ["x"], "languages": ["en"], "replacements": [["blue", "a rather green"], ["boat", "ship with many sails"]]}]
+    rules = [{"replacements": [["blue", "a rather green"], ["boat", "ship with many sails"]], "id": "r", "languages": ["en"], "labels": ["x"]}]
     base = [(1, "the blue boat sails today", "x", "en"), (2, "The Blue boat sails today!", "x", "en"), (3, "the blue boat sails today", "y", "en"), (4, "held out text is here", "x", "en")]
     got = augmentation.augment_rows(base, rules, [{"label": "x", "text": "an edge case row", "family": "f"}], ["held out text is here"], 2, 1, 0.04)
     assert [(n, f, why) for n, _, f, _, _, why in got] == [(1, "base", None), (2, "base", "near-duplicate"), (3, "base", "cross-label-conflict"), (4, "base", "holdout-exact"), (None, "boundary:f", None), (1, "replacement:r", None)]

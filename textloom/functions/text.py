@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F, types as T
 WHITE = r"(?U)\s+"
 PLACEHOLDER = r"\{\{[A-Z_]+\}\}"
 #: Languages written with spaces, for which a text of one word says too little.
-SPACED = ("en", "es", "pt", "fr", "de", "id", "vi", "ru")
+SPACED = tuple("de en es fr id pt ru vi".split())
 MARKERS: dict[str, tuple[tuple[str, ...], str]] = {
     "es": (tuple("cuenta código el gracias la las los para pedido tu usted".split()), "¡¿ñ"),
     "pt": (tuple("conta código entrega não obrigado para pedido seu sua você".split()), "çãõ"),
@@ -61,7 +61,7 @@ def template_of(text: str) -> str:
     if tag := _TAG.match(made):
         made = made[tag.end() :]
     made = _CODE.sub(" dynamicid ", _FOOTER.sub("", made))
-    return re.sub(r"[\W_]+", "", re.sub(r"\d+", " dynamicnumber ", made))
+    return "".join(re.findall(r"[^\W_]+", re.sub(r"\d+", " dynamicnumber ", made)))
 
 
 @F.pandas_udf(T.StringType())
@@ -98,7 +98,7 @@ def public_language(text: Column) -> Column:
     return F.when(text.rlike(SCRIPTS[0][1]), "ja").when(text.rlike(SCRIPTS[1][1]), "ko").when(text.rlike(SCRIPTS[3][1]), "zh").when(text.isNotNull(), "en")
 
 
-def language_hint(hint: Column, allowed: tuple[str, ...] = ("zh", "en", "ja", "ko", "th", "ru", "es", "pt", "fr", "de", "id", "vi")) -> Column:
+def language_hint(hint: Column, allowed: tuple[str, ...] = (*SPACED, "ja", "ko", "th", "zh")) -> Column:
     """The language of a tag such as en_US, with three-letter codes known; unknown if it isn't allowed."""
     code = F.element_at(F.split(F.replace(F.lower(F.trim(hint)), F.lit("_"), F.lit("-")), "-"), 1)
     code = F.when(code == "cmn", "zh").when(code == "eng", "en").when(code == "jpn", "ja").otherwise(code)
@@ -231,11 +231,11 @@ class StableRandom:
     """A 64-bit linear congruential generator seeded by SHA-256 of a text."""
 
     def __init__(self, seed: str):
-        self.state = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big") or 0x9E3779B97F4A7C15
+        self.at = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big") or 0x9E3779B97F4A7C15
 
     def between(self, low: int, high: int) -> int:
-        self.state = (self.state * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-        return low + self.state % (high - low + 1)
+        self.at = 0xFFFFFFFFFFFFFFFF & (1442695040888963407 + 6364136223846793005 * self.at)
+        return low + self.at % (high + 1 - low)
 
     def pick(self, values):
         return values[self.between(0, len(values) - 1)]

@@ -73,7 +73,7 @@ def augment_rows(base: Sequence[tuple[int, str, str, str]], rules: Sequence[dict
         if made[row["label"]] >= per_label:
             out.append((None, len(out), "boundary", row["label"], row["text"], "label-cap"))
         else:
-            put(None, f"boundary:{row.get('family', 'unspecified')}", row["label"], row["text"])
+            put(None, "boundary:" + (row.get("family") or "unspecified"), row["label"], row["text"])
     for n, text, label, language in base:
         swaps = ((r["id"], a, b) for r in rules if label in r["labels"] and language in r["languages"] for a, b in r["replacements"] if a in text)
         variants = 0

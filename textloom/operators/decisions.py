@@ -22,7 +22,13 @@ KEYWORDS: tuple[tuple[str, tuple[str, ...], float], ...] = (
     ("work.meeting", ("meeting", "termin", "réunion", "reunión"), 0.8),
 )
 DEFAULT = ("transaction.message", 0.55)
-SUB_ACTIONS = {"orders": ("transaction.order", "life.takeaway", "life.express", "life.logistics", "life.pickup_code", "travel.ticketing"), "reminders": ("work.meeting", "work.reminder", "work.training", "travel.transport"), "health": ("life.medical",), "weather": ("life.weather",), "rewards": ("transaction.points", "transaction.member")}
+SUB_ACTIONS = {
+    "orders": ["transaction.order", "travel.ticketing", *(f"life.{x}" for x in "express logistics pickup_code takeaway".split())],
+    "reminders": ["travel.transport", *(f"work.{x}" for x in "meeting reminder training".split())],
+    "health": ["life.medical"],
+    "weather": ["life.weather"],
+    "rewards": ["transaction.member", "transaction.points"],
+}
 
 
 def valid_pattern(pattern: str | None) -> bool:

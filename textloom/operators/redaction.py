@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-PRIORITY = ("PHONE", "URL", "EMAIL", "ID", "PLATE", "ADDRESS", "CARD", "ORDER_ID", "AMOUNT", "CODE", "NAME")
+PRIORITY = tuple("PHONE URL EMAIL ID PLATE ADDRESS CARD ORDER_ID AMOUNT CODE NAME".split())
 SPANS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 #: Patterns without look-around, which any engine can run.
 URL = r"https?://[^\s<>\"]+|www\.[^\s<>\"]+"

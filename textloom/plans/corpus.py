@@ -298,7 +298,7 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def augment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = curation.source_cap(rows(spark, sf_dir), 2).drop("digest")
-    rules = [{"id": "the", "labels": ["0", "1", "none"], "languages": ["en"], "replacements": [["the ", "some of these "]]}]
+    rules = [{"replacements": [["the ", "some of these "]], "id": "the", "languages": ["en"], "labels": ["0", "1", "none"]}]
     made = augmentation.augment(base, rules, holdout=table(spark, sf_dir, "benchmark"), least_change=0.0)
     return augmentation.augmentation_report(made)
 

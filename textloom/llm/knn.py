@@ -61,7 +61,9 @@ def knn_join(vectors: DataFrame, k: int = 10, pivots: int | None = None, id_col:
     spark = vectors.sparkSession
     out = T.StructType([T.StructField(id_col, vectors.schema[id_col].dataType), T.StructField("neighbor_id", vectors.schema[id_col].dataType), T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
     v = F.col(vector_col)
-    clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    # four bytes a number where the column has no more: distances are computed in eight either way
+    kind = "array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else "array<double>"
+    clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     lengths = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths or not lengths[0]["n"]:
         return spark.createDataFrame([], out)
@@ -81,7 +83,7 @@ def knn_join(vectors: DataFrame, k: int = 10, pivots: int | None = None, id_col:
                 to = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(to)], names=["id", "v", "cell", "to_pivot"])
 
-    placed = spool(clean.mapInArrow(assign, "id long, v array<double>, cell int, to_pivot double"), "cells")
+    placed = spool(clean.mapInArrow(assign, f"id long, v {kind}, cell int, to_pivot double"), "cells")
 
     def summarise(table: pa.Table) -> pa.Table:
         d = np.sort(table["to_pivot"].to_numpy())
@@ -134,7 +136,7 @@ def knn_join(vectors: DataFrame, k: int = 10, pivots: int | None = None, id_col:
         return pa.table({id_col: ids[q][row], "neighbor_id": ids[at], "rank": pa.array(rank, pa.int32()), "distance": dist})
 
     wide = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("neighbor_id", T.LongType()), *out.fields[2:]])
-    found = placed.mapInArrow(replicate, "cell int, asks boolean, id long, v array<double>").groupBy("cell").applyInArrow(solve, wide)
+    found = placed.mapInArrow(replicate, f"cell int, asks boolean, id long, v {kind}").groupBy("cell").applyInArrow(solve, wide)
     return found.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in out.fields))
 
 

@@ -53,7 +53,10 @@ def sentence_of(data: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[
 
 def _start(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n: int, least: float = 3.0) -> np.ndarray:
     """First weights: twice the log-odds of words that are more frequent in toxic documents by ``least`` standard errors. From 0 a sentence's slope at the bias is so flat that few labels wouldn't move any."""
-    pair = np.unique(word * np.int64(len(toxic)) + doc)
+    pair = word * np.int64(len(toxic))
+    pair += doc
+    pair.sort()
+    pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]
     w, d = np.divmod(pair, len(toxic))
     a, b = (np.bincount(w, weights=x[d].astype(float), minlength=n) for x in (toxic, clean))
     p, q = (a + 0.5) / (toxic.sum() + 1), (b + 0.5) / (clean.sum() + 1)
@@ -76,18 +79,21 @@ def train(docs: np.ndarray, sentences: np.ndarray, hashes: np.ndarray, toxic: np
     first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     keys, counts = np.unique(h[first], return_counts=True)
     keys = keys[counts >= min_docs]
+    del order, h, d, first, counts
     at = HashSet(keys).find(hashes)
     known = at >= 0
-    at, sent = at[known], sentences[known]
-    sentence_doc = np.zeros(int(sentences.max()) + 1, np.int64)
+    at, sent = at[known].astype(np.int32), sentences[known].astype(np.int32)
+    sentence_doc = np.zeros(int(sentences.max()) + 1, np.int32)
     sentence_doc[sentences] = docs
+    docs = docs[known].astype(np.int32)
+    del hashes, sentences, known
     held = np.random.default_rng(seed).random(n) < 0.2
     if toxic[held].min(initial=1) == toxic[held].max(initial=0) or toxic[~held].min(initial=1) == toxic[~held].max(initial=0):
         held[:] = False
     y = toxic.astype(bool)
     share = np.where(y, prior / max(1, (y & ~held).sum()), (1 - prior) / max(1, (~y & ~held).sum())) * ~held
     penalty = l1 * share[y].max()
-    w = np.append(_start(at, docs[known], y & ~held, ~y & ~held, len(keys)), bias)
+    w = np.append(_start(at, docs, y & ~held, ~y & ~held, len(keys)), bias)
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 7) ->
         return None
     h, s = table["h"].combine_chunks(), table["s"].combine_chunks()
     n_words = np.diff(np.asarray(h.offsets))
-    doc = np.repeat(np.arange(table.num_rows), n_words)
-    pair = doc.astype(np.int64) << 32 | np.asarray(s.flatten()).astype(np.int64)
-    _, sentence = np.unique(pair, return_inverse=True)
-    return train(doc, sentence, np.asarray(h.flatten()).view(np.uint64), np.asarray(table["toxic"]), prior=n_toxic / n)
+    toxic, doc = np.asarray(table["toxic"]), np.repeat(np.arange(table.num_rows, dtype=np.int32), n_words)
+    # sentences are numbered upwards within their document
+    s = np.asarray(s.flatten())
+    sentence = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0), dtype=np.int32) - 1
+    del table, s
+    return train(doc, sentence, np.asarray(h.flatten()).view(np.uint64), toxic, prior=n_toxic / n)
 
 
 def score(docs: DataFrame, model: Model | None, toxic_only: bool | None = None) -> DataFrame:

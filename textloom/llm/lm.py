@@ -220,14 +220,16 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
         return docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
     if size > broadcast_words:
         return _joined(docs, table, size, total, total_train, held_percent)
-    t = table.toArrow()
+    narrow = "int" if total < 1 << 31 else "long"
+    t = table.select("h", *(F.col(c).cast(narrow) for c in ("n", "n_train", "context", "context_train"))).toArrow()
     h = t["h"].to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
     start = np.flatnonzero(h[order] == _START)
     order = np.concatenate((np.delete(order, start), order[start]))
-    kind_ = np.uint32 if total < 1 << 32 else np.int64
-    columns = [t[c].to_numpy()[order].astype(kind_) for c in ("n", "n_train", "context", "context_train")]
-    sent = spark.sparkContext.broadcast(Vocabulary(h[order][:-1], *columns))  # at most broadcast_words words
+    columns = [t[c].to_numpy()[order] for c in ("n", "n_train", "context", "context_train")]
+    h = h[order][:-1]
+    del t, order
+    sent = spark.sparkContext.broadcast(Vocabulary(h, *columns))  # at most broadcast_words words
     shards = shards or max(partitions(spark), -(-total // shard_words))
     weights = _learn_weights(docs, sent, shards, held_percent, total_train or 0, size)
 

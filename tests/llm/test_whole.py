@@ -1,0 +1,22 @@
+"""Cases of whole jobs: nothing is left out where many rows share one thing."""
+
+import random
+
+from conftest import prose
+
+from textloom.llm import substrings
+
+SCHEMA = "doc_id long, text string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+
+
+def test_substrings_pairs_all_texts_of_a_passage(spark):
+    rng = random.Random(4)
+    shared = prose(rng, 70)
+    texts = [f"{prose(rng, 60)} {shared} {prose(rng, 60)}" for _ in range(12)] + [prose(rng, 150) for _ in range(4)]
+    for tiles in ({}, {"most_pairs": 20}):
+        got = {(r.doc_id, r.partner_id) for r in substrings.repeats(docs_of(spark, texts), **tiles).collect()}
+        assert got == {(a, b) for a in range(12) for b in range(12) if a != b}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from conftest import prose
 
 from textloom.llm import substrings
@@ -20,3 +21,17 @@ def test_substrings_pairs_all_texts_of_a_passage(spark):
     for tiles in ({}, {"most_pairs": 20}):
         got = {(r.doc_id, r.partner_id) for r in substrings.repeats(docs_of(spark, texts), **tiles).collect()}
         assert got == {(a, b) for a in range(12) for b in range(12) if a != b}
+
+
+def test_passages_of_several_places():
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 2**32, n).astype(np.uint32)
+    p = fresh(60)
+    for gap in (30, 100, 1000):
+        a, b = np.concatenate((fresh(20), p, fresh(gap), p, fresh(9))), np.concatenate((fresh(5), p, fresh(50)))
+        assert substrings.passages(a, b, 41, 0.6) == [(20, 80, 5, 65, 1.0), (80 + gap, 140 + gap, 5, 65, 1.0)]
+        assert substrings.passages(b, a, 41, 0.6) == [(5, 65, 20, 80, 1.0), (5, 65, 80 + gap, 140 + gap, 1.0)]
+    changed = np.concatenate((p[:30], fresh(5), p[32:]))
+    assert [x[:4] for x in substrings.passages(np.concatenate((p, fresh(40), p)), changed, 41, 0.6)] == [(0, 60, 0, 63), (100, 160, 0, 63)]
+    assert substrings.passages(np.tile(p[:20], 50), np.tile(p[:20], 50), 41, 0.6) == [(0, 1000, 0, 1000, 1.0)]
+    assert substrings.passages(p[:40], p, 41, 0.6) == [] == substrings.passages(fresh(500), fresh(500), 41, 0.6)

@@ -1,18 +1,9 @@
 import random
 
 import pytest
+from llm_brute import CLASH, prose
 from pyspark.sql import functions as F
 
-WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("n", "rt", "st", "x", "lo")]
-CLASH = ("shard", "h", "th", "key", "__key", "span", "node", "root", "group_id", "keep", "n_words", "spans", "toxic", "p_toxic", "n_lines", "bin", "bucket", "rank", "slot", "quality", "p_meta", "ids", "n")
-
-
-def prose(rng: random.Random, n: int) -> str:
-    out = []
-    for k in range(n):
-        out.append(rng.choice(WORDS) + (rng.choice([".", ".\n", ",", "", ""]) if k % 7 == 6 else ""))
-    return " ".join(out)
-
 
 @pytest.fixture(scope="session")
 def messy(spark):
@@ -24,7 +15,3 @@ def messy(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df = df.withColumns({"lang": F.when(F.col("doc_id") % 2 == 0, "en"), "source": F.when(F.col("doc_id") % 3 == 0, "s"), "n_chars": F.length("text").cast("long")})
     return df.withColumns({c: F.when(F.col("doc_id") % 2 == 0, F.lit("x")) for c in CLASH})
-
-
-def plain(row):
-    return tuple("nan" if isinstance(v, float) and v != v else v for v in row)

@@ -5,8 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import components, decontaminated, hashes, line_deduped, near_groups, toxic_probability
-from conftest import prose
+from llm_brute import components, decontaminated, hashes, line_deduped, near_groups, prose, toxic_probability
 from pyspark.sql import functions as F
 
 from textloom.llm import common, cotrain, decontaminate, knn, linededup, lm, packing, simhash, substrings, tokenids, toxicity
@@ -119,27 +118,107 @@ def planted(seed, n=60):
     return texts + [texts[1], texts[1], prose(rng, 10), prose(rng, 10), "", None]
 
 
-def test_substrings_against_brute_force(spark):
+def plain_words(text):
+    return [w for w in ("".join(c for c in x.lower() if c.isalnum()) for x in (text or "").split()) if w]
+
+
+def common_run(a, b):
+    """The longest run of words in both, and where it is in a."""
+    best, before = (0, 0), [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                now[j + 1] = before[j] + 1
+                best = max(best, (now[j + 1], i + 1))
+        before = now
+    return best[0], best[1] - best[0]
+
+
+@pytest.mark.parametrize("how", [{}, {"tile_rows": 3}, {"often": 1}])
+def test_substrings_against_brute_force(spark, how):
     texts = planted(5)
-    got = [tuple(r) for r in substrings.repeats(docs_of(spark, texts)).collect()]
-    s, b = substrings.shingles(string_array(pa.array(texts)))
-    tokens = [(s[i:j] >> np.uint64(32)).astype(np.uint32) for i, j in zip(b[:-1], b[1:])]
-    truth = {(i, j) for i in range(len(texts)) for j in range(i) if substrings.passages(tokens[i], tokens[j], 41, 0.6) or texts[i] and texts[i] == texts[j] and len(tokens[i]) > 40}
-    root = components(len(texts), [(r[0], r[1]) for r in got])
-    found = sum(root[i] == root[j] for i, j in truth)
-    assert len(truth) > 30 and found >= 0.9 * len(truth)
-    exact = {(i, j) for i, j in truth if texts[i] == texts[j]}
-    assert all(root[i] == root[j] for i, j in exact)
-    clean = {i for i in range(0, 60, 2)} - {i for p in truth for i in p}
-    assert clean and not clean & {r[0] for r in got}
-    assert {(a, b, s, e, p, q) for a, b, s, e, p, q, _ in got} == {(b, a, p, q, s, e) for a, b, s, e, p, q, _ in got}
-    assert substrings.repeats(docs_of(spark, texts), broadcast_texts=0).count() == len(got)
+    got = substrings.repeats(docs_of(spark, texts), **how).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r.doc_id, []).append(r)
+    ws = [plain_words(t) for t in texts]
+    exact, linked = set(), {i: set() for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            n, at = common_run(ws[i], ws[j]) if i != j else (0, 0)
+            if n >= 45:  # every exact passage is listed whole, and in one class on either side
+                exact.add((i, j))
+                linked[i].add(texts[j])
+                mine = [r for r in where[i] if r.start_word <= at and at + n <= r.end_word]
+                assert mine and {r.class_id for r in mine} & {r.class_id for r in where[j]}
+    assert len(exact) > 60
+    for i, rows in where.items():  # and what is listed has much in common with another text of its class
+        for r in rows:
+            part = ws[i][r.start_word : r.end_word]
+            assert len(part) >= 45 and r.n_copies == sum(texts[i] == t for t in texts) - 1
+            grams = {tuple(part[k : k + 5]) for k in range(len(part) - 4)}
+            others = [j for j in where if j != i and any(x.class_id == r.class_id for x in where[j])]
+            assert max(len(grams & {tuple(ws[j][k : k + 5]) for k in range(len(ws[j]) - 4)}) for j in others) >= 0.55 * 41
+            assert r.n_links <= len(set(texts)) and r.class_id <= i
+    # of the copies of one passage with up to two words changed all are found
+    assert {i for i in range(1, 60, 2)} <= set(where) and not set(where) & {i for i in range(0, 60, 2)}
+    assert len(got) == len({(r.doc_id, r.start_word) for r in got})
+
+
+def test_substrings_hot_passage(spark):
+    """One passage in 30 texts, twice in some, amid texts that share a short sentence only, and a text that occurs 40 times."""
+    rng = random.Random(4)
+    shared, short = prose(rng, 60), prose(rng, 20)
+    texts = [f"{prose(rng, 50)} {shared} {prose(rng, 30)}" + (f" {shared}" if k % 3 == 0 else "") for k in range(30)]
+    texts += [f"{prose(rng, 60)} {short} {prose(rng, 60)}" for _ in range(40)]
+    texts += [prose(rng, 90)] * 40
+    for how in ({}, {"tile_rows": 8}, {"often": 2}):
+        got = substrings.repeats(docs_of(spark, texts), **how).collect()
+        assert sorted(r.doc_id for r in got) == sorted([*range(30), *range(0, 30, 3), *range(70, 110)])
+        assert {(r.class_id, r.n_links, r.n_copies) for r in got} == {(0, 29, 0), (70, 0, 39)}
+        assert all(r.start_word <= 50 and r.end_word >= 110 or r.start_word <= 140 and r.end_word >= 200 for r in got if r.doc_id < 30)
+
+
+def test_agreement_against_loops():
+    rng = np.random.default_rng(2)
+    least, share = 41, 0.6
+
+    def plain(a, b):
+        """Shingles of a in runs of three that b has within eight places, then the stretches that are dense enough."""
+        n = len(a)
+        hit = np.zeros(n, bool)
+        for i in range(n - 2):
+            for j in range(max(0, i - 8), min(n - 2, i + 9)):
+                if (a[i : i + 3] == b[j : j + 3]).all() and a[i : i + 3].all():
+                    hit[i : i + 3] = True
+        found = [(x, y) for x in range(n) for y in range(x + least - 1, n) if hit[x] and hit[y] and hit[x : y + 1].sum() >= share * (y - x + 1) - 1e-9]
+        return (min(x for x, _ in found), max(y for _, y in found)) if found else None
+
+    a = rng.integers(1, 255, (120, 81)).astype(np.uint8)
+    b = rng.integers(1, 255, (120, 81)).astype(np.uint8)
+    for k in range(120):
+        lo, hi = rng.integers(0, 40), rng.integers(40, 81)
+        b[k, lo:hi] = a[k, lo:hi]
+        for _ in range(rng.integers(0, 5)):
+            i = rng.integers(0, 76)
+            b[k, i : i + 5] = rng.integers(1, 255, 5)
+        if k % 4 == 0:
+            b[k, 45:] = b[k, 43:-2]
+        if k % 7 == 0:
+            b[k, 70:] = 0
+    linked, *ends = substrings.agreement(substrings._grams(a), substrings._grams(b), least, share)
+    assert 20 < linked.sum() < 110
+    for k in range(120):
+        x, y = plain(a[k], b[k]), plain(b[k], a[k])
+        assert linked[k] == bool(x and y)
+        if linked[k]:
+            assert (ends[0][k], ends[1][k]) == x and (ends[2][k], ends[3][k]) == y
 
 
 def test_substrings_odd_input(spark, messy):
-    out = substrings.repeats(messy)
-    pairs = {(r.doc_id, r.partner_id) for r in out.collect()}
-    assert (5, 6) in pairs and (6, 5) in pairs and all(a != b for a, b in pairs)
+    got = substrings.repeats(messy).collect()
+    assert {r.doc_id for r in got} == {5, 6} and all(r.class_id == 5 and r.n_copies == 1 and r.n_links == 0 and (r.start_word, r.end_word) == (0, 60_000) for r in got) and len(got) == 2
     assert substrings.repeats(messy.limit(0)).count() == 0
 
 

@@ -1,5 +1,5 @@
-from brute import decontaminated, line_deduped, near_groups, toxic_probability
-from test_operators import check_packed
+from llm_brute import decontaminated, line_deduped, near_groups, toxic_probability
+from test_llm_operators import check_packed
 
 import corpus_pipeline
 from textloom.llm import simhash, toxicity

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,22 +13,53 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and everything runs in one process, as in tests, one of our own, which goes when the process ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        shared_dir.own = at
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = getattr(shared_dir, "own", None)
+        if not at:
+            own = tempfile.mkdtemp(prefix="textloom-")
+            atexit.register(shutil.rmtree, own, True)
+            at = shared_dir.own = f"file://{own}"
     return at.rstrip("/")
 
 
+_spooled: list[str] = []
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing. ``clear`` removes what was written."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _spooled.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def spooled() -> int:
+    """How many tables have been spooled, to be given to ``clear``."""
+    return len(_spooled)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables spooled since then. Results that haven't been written yet can't be read any more."""
+    for at in _spooled[since:]:
+        remove(spark, at)
+    del _spooled[since:]
+
+
+def readable(docs: DataFrame) -> DataFrame:
+    """docs with the bytes of text that aren't UTF-8 read as U+FFFD, the rule of all operators."""
+    return docs.withColumn("text", F.make_valid_utf8("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, fresh, need
+from .common import extended, fresh, need, readable
 from .textbytes import ALNUM, U64, WS, HashSet, mix, raw, runs, slices, span_hash, string_array
 
 _PAIR = U64(0x9FB21C651E98DF25)
@@ -98,8 +98,11 @@ def tokens_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         plain = pc.replace_substring_regex(pc.utf8_lower(a), pattern=r"[^\x00-\x7F\pL\pN]", replacement="\x01")
         low, low_off = raw(plain)
         s, e = runs(~WS[low], low_off)
-        if len(s) != len(starts):  # lower case moved a word's bounds, which no letter is known to do
-            raise ValueError("words changed in lower case")
+        if len(s) != len(starts):  # should lower case ever move a word's bounds: word by word
+            view = data.tobytes()
+            plain = pc.replace_substring_regex(pc.utf8_lower(pa.array([view[x:y].decode(errors="replace") for x, y in zip(starts, ends, strict=True)], pa.string())), pattern=r"[^\x00-\x7F\pL\pN]", replacement="\x01")
+            low, edges = raw(plain)
+            s, e = edges[:-1], edges[1:]
     else:
         low, s, e = raw(pc.ascii_lower(a))[0], starts, ends
     h, n = span_hash(low, s, e, ALNUM[low])
@@ -144,7 +147,7 @@ def limit(n: int, min_length: int, coverage: float, floor: int) -> int:
 def detectors(benchmark: DataFrame, min_length: int, coverage: float, floor: int, group_words: int = 500_000) -> list[Detector]:
     """Items, read in the driver a group at a time, in automata of at most so many words each (or one item)."""
     out, group, size, seen = [], [], 0, set()
-    for row in benchmark.select("text").where("text is not null").distinct().toLocalIterator():
+    for row in readable(benchmark.select("text")).where("text is not null").distinct().toLocalIterator():
         h = tokens_of(pa.array([row.text]))[0]
         h = h[h != 0]
         if len(h) < floor or h.tobytes() in seen:
@@ -168,12 +171,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_length: int = 13, c
     ``min_length`` words, or covers at least ``coverage`` of the item and has ``floor`` words. A word goes with the
     white space after it; a word without letters or digits goes if both its neighbours do.
 
-    A null text stays null. An empty or null item, or one of under ``floor`` words, matches nothing; repeated
+    A null text stays null; bytes that aren't UTF-8 are read as U+FFFD, here and in the items. An empty or null item, or one of under ``floor`` words, matches nothing; repeated
     items count once. Other columns pass, those named as the added ones are replaced. Every row is kept.
     Items over ``group_words`` words in all are split over several automata and passes of the same plan.
     """
     need(docs, "text")
     need(benchmark, "text")
+    docs = readable(docs)
     spark = docs.sparkSession
     found = detectors(benchmark, min_length, coverage, floor, group_words)
     df, (held,) = docs, fresh(docs, "__spans")
@@ -243,7 +247,7 @@ def _one(batch: pa.RecordBatch, a: pa.Array, i: int, j: int, detector: Detector,
                 keep.append(whole[at:x])
                 at = int(starts[y]) if y < rows[r + 1] else int(off[r + 1])
             keep.append(whole[at : int(off[r + 1])])
-            made.append(b"".join(keep).decode())
+            made.append(b"".join(keep).decode(errors="replace"))
         choice = np.zeros(j - i, np.int64)
         choice[texts] = np.arange(len(texts))
         columns["text"] = pc.if_else(pa.array(removed > 0), pa.array(made, columns["text"].type).take(pa.array(choice)), columns["text"])

@@ -12,7 +12,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .common import need
+from .common import need, readable
 from .textbytes import slices, string_array
 
 #: Where the vocabulary lies on the workers, and the pattern of its pre-tokens.
@@ -80,7 +80,8 @@ class Encoder:
         cut = np.flatnonzero(flat == self.line_end)
         n = np.zeros(len(units), np.int64)
         n[~blank] = np.diff(cut, prepend=-1) - 1
-        made = [self._encode(u) for u in units if u.isspace()]
+        # white space is one pre-token; the pattern itself would backtrack over a long run of it
+        made = [np.array(self.encoding._encode_single_piece(u), np.int32) for u in units if u.isspace()]
         n[blank] = [len(x) for x in made]
         ids = np.empty(int(n.sum()), np.int32)
         of = np.repeat(blank, n)
@@ -208,6 +209,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, shard_ids: int = 8_000
     null and repeated doc_ids are kept in place. Other columns are not read. An empty table gives no shard.
     """
     need(docs, "doc_id", "text")
+    docs = readable(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = Encoder(vocabulary), TaskContext.get().partitionId(), 0

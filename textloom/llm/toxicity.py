@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, need, spool, with_columns
+from .common import extended, need, readable, spool, with_columns
 from .textbytes import HashSet, char_before, raw, segment_sums, slices, string_array, words
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("sentence", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 7) ->
     """
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
+    docs = readable(docs)
     per = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     per = spool(per, "labels")
     n, n_toxic = per.agg(F.count("*"), F.sum("toxic")).first()
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model | None, toxic_only: bool | None = None)
     only the others.
     """
     need(docs, "text")
+    docs = readable(docs)
     schema, kept = extended(docs, p_toxic=T.DoubleType(), toxic=T.BooleanType(), n_sentences=T.IntegerType(), offending=SENTENCES)
     m = model or Model(np.zeros(0, np.uint64), np.zeros(0), -100.0, 2.0)
     sent = docs.sparkSession.sparkContext.broadcast((m.keys, m.weights, m.bias, m.threshold))  # bounded by the sample's words

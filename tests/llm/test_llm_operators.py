@@ -429,14 +429,30 @@ def brute_knn(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivots", [None, 1, 25])
-def test_knn_against_brute_force(spark, pivots):
+@pytest.mark.parametrize("how", [{}, {"pivots": 1}, {"pivots": 25, "group_queries": 7, "block_rows": 11}])
+@pytest.mark.parametrize("offset", [0, 1e6])
+def test_knn_against_brute_force(spark, how, offset):
+    """Clusters, ties and, with an offset, vectors that differ little against their lengths."""
     rng = np.random.default_rng(1)
-    v = np.concatenate((rng.integers(0, 4, (120, 3)), rng.normal(size=(80, 3)) * 5 + 20)).astype(np.float32)
+    v = np.concatenate((rng.integers(0, 4, (120, 3)), rng.normal(size=(80, 3)) * (5 if not offset else 0.01) + 20)) + offset
+    v = v.astype(np.float32 if not offset else float)
     rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.vec_id, r.neighbor_id, r["rank"]) for r in knn.knn_join(df, k=7, pivots=pivots).collect())
-    assert got == brute_knn(rows, 7)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{'double' if offset else 'float'}>").repartition(3)
+    plain = brute_knn(rows, 7)
+    assert sorted((r.vec_id, r.neighbor_id, r["rank"]) for r in knn.knn_join(df, k=7, **how).collect()) == plain
+    some = knn.knn_join(df, df.where("vec_id % 10 = 0"), k=7, **how).collect()
+    assert sorted((r.vec_id, r.neighbor_id, r["rank"]) for r in some) == [r for r in plain if r[0] % 10 == 0]
+
+
+def test_knn_prunes_clusters(spark):
+    """Few vectors are sent to a group of queries that is far from them, and the answers stay exact."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(8, 16)) * 100
+    v = np.concatenate([c + rng.normal(size=(60, 16)) for c in centers])
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(3)
+    made = knn.knn_join(df, k=4, pivots=40, group_queries=60)
+    assert sorted((r.vec_id, r.neighbor_id, r["rank"]) for r in made.collect()) == brute_knn(rows, 4) and made.schema["vec_id"].dataType.simpleString() == "int"
 
 
 def test_knn_odd_input(spark):
@@ -444,7 +460,13 @@ def test_knn_odd_input(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"cell": F.lit(1), "id": F.lit("x"), "rank": F.lit(0)})
     got = sorted((r.vec_id, r.neighbor_id) for r in knn.knn_join(df, k=5).collect())
     assert got == [(1, 2), (1, 2), (2, 1), (2, 1)]
-    assert knn.knn_join(df.limit(0)).count() == 0 and knn.knn_join(df.where("vec_id = 3")).count() == 0
+    assert knn.knn_join(df.limit(0)).count() == 0 and knn.knn_join(df.where("vec_id = 3")).count() == 0 and knn.knn_join(df, df.limit(0)).count() == 0
+    far = df.union(spark.createDataFrame([(8, [float("inf"), 0.0]), (9, [0.0, float("-inf")])], "vec_id long, embedding array<float>").withColumns({"cell": F.lit(1), "id": F.lit("x"), "rank": F.lit(0)}))
+    assert sorted((r.vec_id, r.neighbor_id) for r in knn.knn_join(far, k=5).collect()) == got
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    assert [(r.neighbor_id, r.distance) for r in knn.knn_join(same, same.where("vec_id = 7"), k=3, block_rows=20, group_queries=5).orderBy("rank").collect()] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    with pytest.raises(ValueError):
+        knn.knn_join(df.withColumn("vec_id", F.lit("x")))
 
 
 # 10 packing

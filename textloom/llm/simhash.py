@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import components, fresh, local_labels, need, partitions, spool
+from .common import components, fresh, local_labels, need, partitions, readable, spool
 from .textbytes import U64, mix, slices, string_array, words
 
 RADIUS = 22
@@ -89,10 +89,11 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072) -> DataFrame:
-    """doc_id, text_hash, group_id and keep of every row of docs, without its text.
+    """doc_id, text_hash, group_id, n_links and keep of every row of docs, without its text.
 
     Fingerprints at most ``radius`` of 128 bits apart are linked, and so are their groups; ``group_id`` is the
-    least doc_id of the group (null if there is none) and ``keep`` is true in exactly one row of it, the first by doc_id and text hash.
+    least doc_id of the group (null if there is none), ``n_links`` the number of other rows at most ``radius`` bits from this one, copies among them,
+    and ``keep`` is true in exactly one row of the group, the first by doc_id and text hash.
     Each pair of fingerprints is compared: those in order of population count are cut into bands, every pair of
     bands is a task that passes over tile pairs whose counts differ beyond the radius, and sends on
     only a spanning forest of the links it finds.
@@ -101,16 +102,16 @@ def groups(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072) -> D
     own. Equal rows are one group, of which one row has keep. A null doc_id comes last. Other columns are not read.
     """
     need(docs, "doc_id", "text")
+    docs = readable(docs)
     return _grouped(fingerprint_table(docs), radius, band_rows)
 
 
 def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
     spark = table.sparkSession
     some = table.where("n_distinct > 0")
-    node = F.struct("hi", "lo")
-    fps = spool(some.select("hi", "lo").distinct().withColumn("ones", F.bit_count("hi") + F.bit_count("lo")), "distinct")
+    fps = spool(some.groupBy("hi", "lo").agg(F.count("*").alias("rows")).withColumn("ones", F.bit_count("hi") + F.bit_count("lo")), "distinct")
     n = fps.count()
-    roots = None
+    roots = near = None
     if n > 1:
         bands = max(min(32, -(-n // 1024)), -(-n // band_rows))
 
@@ -123,32 +124,40 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
                 ones = t["ones"].to_numpy()
                 order = np.argsort(ones, kind="stable")
                 f = np.stack((t["hi"].to_numpy(), t["lo"].to_numpy()), axis=1)[order]
-                yield pa.RecordBatch.from_arrays([pa.array([pyspark.TaskContext.get().partitionId()], pa.int32()), pa.array([int(ones.min())], pa.int32()), pa.array([int(ones.max())], pa.int32()), pa.array([f.tobytes()])], names=["band", "low", "high", "fps"])
-
-        banded = spool(fps.repartitionByRange(bands, "ones", "hi").mapInArrow(gather, "band int, low int, high int, fps binary"), "bands")
-        ends = banded.select("band", "low", "high")
-        pairs = ends.alias("a").join(F.broadcast(ends).alias("b"), F.expr(f"a.band <= b.band and b.low - a.high <= {radius} and a.low - b.high <= {radius}"))  # a row per band: few, as each is large
-        pairs = pairs.select(F.col("a.band").alias("x"), F.col("b.band").alias("y"))
-        # a band goes once to each pair that it is in, and nothing moves again
-        one = F.broadcast(pairs)
-        left = banded.join(one, F.col("band") == F.col("x")).select("x", "y", F.lit(0).alias("side"), "fps")
-        right = banded.join(one, (F.col("band") == F.col("y")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1).alias("side"), "fps")
+                rows = t["rows"].to_numpy()[order]
+                yield pa.RecordBatch.from_arrays([pa.array([pyspark.TaskContext.get().partitionId()], pa.int32()), pa.array([int(ones.min())], pa.int32()), pa.array([int(ones.max())], pa.int32()), pa.array([f.tobytes()]), pa.array([rows.tobytes()])], names=["band", "low", "high", "fps", "rows"])
+
+        banded = spool(fps.repartitionByRange(bands, "ones", "hi").mapInArrow(gather, "band int, low int, high int, fps binary, rows binary"), "bands")
+        ends = banded.select("band", "low", "high").orderBy("band").toPandas()  # a row per band: few, as each is large
+        # bands are in order of population counts, so the partners of each are the bands from first to last
+        low, high = ends.low.to_numpy(), ends.high.to_numpy()
+        first, last = np.searchsorted(high, low - radius, "left"), np.searchsorted(low, high + radius, "right") - 1
+        reach = spark.createDataFrame([(int(b), int(ends.band[i]), int(ends.band[j])) for b, i, j in zip(ends.band, first, last, strict=True)], "band int, first int, last int")
+        ranged = banded.join(reach, "band")
+        # a band goes once to each pair that it is in, and nothing moves again; numbers between bands that no band has meet nothing
+        left = ranged.select(F.col("band").alias("x"), F.explode(F.sequence("band", "last")).alias("y"), F.lit(0).alias("side"), "fps", "rows")
+        right = ranged.where("first < band").select(F.explode(F.sequence(F.col("first"), F.col("band") - 1)).alias("x"), F.col("band").alias("y"), F.lit(1).alias("side"), "fps", "rows")
         tasks = left.union(right).repartition(max(partitions(spark), bands * (bands + 1) // 4), "x", "y").sortWithinPartitions("x", "y", "side")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = b = None
+            """A spanning forest of the links (ah, al, bh, bl), and the rows near to each fingerprint: those have no b but n."""
+            a = b = rows_a = None
+            before_ = None
             for batch in batches:
                 for k in range(batch.num_rows):
                     x, y, side = (batch.column(c)[k].as_py() for c in ("x", "y", "side"))
-                    b = np.frombuffer(batch.column("fps")[k].as_py(), np.uint64).reshape(-1, 2)
+                    b, rows_b = np.frombuffer(batch.column("fps")[k].as_buffer(), np.uint64).reshape(-1, 2), np.frombuffer(batch.column("rows")[k].as_buffer(), np.int64)
                     if side == 0:
-                        a = b
-                    if side == 0 and x < y:
+                        a, rows_a, before_ = b, rows_b, (x, y)
+                    if side == 0 and x < y or before_ != (x, y):
                         continue
                     shift = 0 if x == y else len(a)
                     label = np.arange(len(a) if x == y else len(a) + len(b))
+                    near_a, near_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
                     links = []
                     for p, q in close_pairs(a, b, radius, x == y):
+                        np.add.at(near_a, p, rows_b[q])
+                        np.add.at(near_b, q, rows_a[p])
                         fresh = label[p] != label[q + shift]
                         if fresh.any():
                             before = label[p[fresh]], label[q[fresh] + shift]
@@ -158,27 +167,35 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
                         e = np.concatenate(links)
                         every = a if x == y else np.concatenate((a, b))
                         u, v = every[e[:, 0]].view(np.int64), every[e[:, 1]].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(v[:, 0]), pa.array(v[:, 1])], names=["ah", "al", "bh", "bl"])
-
-        links = spool(tasks.mapInArrow(compare, "ah long, al long, bh long, bl long"), "links")
+                        yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(v[:, 0]), pa.array(v[:, 1]), pa.nulls(len(u), pa.int64())], names=["ah", "al", "bh", "bl", "n"])
+                    for f, n in ((a, near_a), (b, near_b)):
+                        if len(at := np.flatnonzero(n)):
+                            u, none = f[at].view(np.int64), pa.nulls(len(at), pa.int64())
+                            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), none, none, pa.array(n[at])], names=["ah", "al", "bh", "bl", "n"])
+
+        both = spool(tasks.mapInArrow(compare, "ah long, al long, bh long, bl long, n long"), "links")
+        links = both.where("n is null")
+        near = both.where("n is not null").groupBy(F.col("ah").alias("hi"), F.col("al").alias("lo")).agg(F.sum("n").alias("near"))
         # nodes are numbered by a hash of the fingerprint
         number = lambda x, y: F.xxhash64(x, y)
         found = components(links.select(number("ah", "al").alias("a"), number("bh", "bl").alias("b")))
         roots = found.select(F.col("node"), F.col("root"))
-    own = table.withColumn("node", F.xxhash64("hi", "lo"))
+    own = some.join(fps.select("hi", "lo", "rows"), ["hi", "lo"])
+    own = own.withColumn("near", F.lit(0)) if near is None else own.join(near, ["hi", "lo"], "left")
+    own = own.withColumns({"node": F.xxhash64("hi", "lo"), "n_links": F.col("rows") - 1 + F.coalesce("near", F.lit(0))})
     if roots is None:
         rooted = own.withColumn("root", F.col("node"))
     else:
         rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     lone = "n_distinct = 0"
-    best = rooted.where("n_distinct > 0").groupBy("root").agg(F.min(first).alias("best"))
+    best = rooted.groupBy("root").agg(F.min(first).alias("best"))
     # a row among equal rows: only rows that are repeated whole are numbered
     same = F.row_number().over(_window())
-    out = rooted.where("n_distinct > 0").withColumn("turn", same).join(best, "root").select(
-        "doc_id", "text_hash", F.col("best.doc_id").alias("group_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")) & (F.col("turn") == 1)).alias("keep")
+    out = rooted.withColumn("turn", same).join(best, "root").select(
+        "doc_id", "text_hash", F.col("best.doc_id").alias("group_id"), "n_links", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")) & (F.col("turn") == 1)).alias("keep")
     )
-    return out.union(table.where(lone).select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(True).alias("keep")))
+    return out.union(table.where(lone).select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keep")))
 
 
 def _window():
@@ -190,6 +207,7 @@ def _window():
 def deduplicated(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072) -> DataFrame:
     """docs with one document of each group, as ``groups`` has it; all columns as they are."""
     need(docs, "doc_id", "text")
+    docs = readable(docs)
     found = spool(groups(docs, radius, band_rows), "groups")
     away = found.groupBy("doc_id", "text_hash").agg(F.max("keep").alias("stays"), F.count("*").alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"))
     gone, thin = away.where("not stays"), away.where("stays and kept < n")

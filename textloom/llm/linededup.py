@@ -10,11 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, fresh, need, partitions, spool, with_columns
+from .common import extended, fresh, need, partitions, readable, spool, with_columns
 from .textbytes import U64, WS, mix, raw, slices, span_hash, string_array
 
 _NO_DOC = (1 << 63) - 1
-INDEX = "shard int, n_keys long, levels array<int>, bits binary, ranks binary, prints binary, counts binary, owners binary"
+INDEX = "shard int, n_keys long, n_lines long, levels array<int>, bits binary, ranks binary, prints binary, counts binary, owners binary"
 
 
 def _level(keys: np.ndarray, k: int, size: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def build_shard(shard: int, keys: np.ndarray, counts: np.ndarray, owners: np.nda
     at = made.index(keys)
     order = np.argsort(at)
     keys, counts, owners = keys[order], counts[order], owners[order]
-    return {"shard": shard, "n_keys": len(keys), "levels": made.levels, "bits": made.bits.tobytes(), "ranks": made.ranks.tobytes(), "prints": _print(keys).tobytes(), "counts": np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), "owners": owners[counts > 1].tobytes()}
+    return {"shard": shard, "n_keys": len(keys), "n_lines": int(counts.sum()), "levels": made.levels, "bits": made.bits.tobytes(), "ranks": made.ranks.tobytes(), "prints": _print(keys).tobytes(), "counts": np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), "owners": owners[counts > 1].tobytes()}
 
 
 def lines_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +116,16 @@ def lines_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts, ends, h, rows
 
 
+def _stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the stretches in which none of the columns changes."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(change)
+    yield from zip(at.tolist(), [*at[1:].tolist(), len(change)], strict=True)
+
+
 def _ids(column) -> np.ndarray:
     return np.asarray(column.fill_null(_NO_DOC).cast(pa.int64()))
 
@@ -142,19 +152,18 @@ def _shard_of(h, shards: int):
     return F.pmod(F.shiftrightunsigned(h, 17), F.lit(shards)).cast("int")
 
 
-def build_index(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """The spooled index, a row per shard: perfect hash, fingerprints, counts and owners in the order of the hash."""
-    spark = docs.sparkSession
-    shards = shards or partitions(spark)
+def build_index(docs: DataFrame, shards: int | None = None, shard_lines: int = 1_000_000) -> DataFrame:
+    """The spooled index, a row per shard of about ``shard_lines`` distinct lines: perfect hash, fingerprints, counts and owners in the order of the hash, and how many lines there are in all."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([build_shard(int(pdf.shard.iloc[0]), pdf.h.to_numpy().view(np.uint64), pdf.n.to_numpy(), pdf.owner.to_numpy())])
 
-    counted = count_lines(docs).withColumn("shard", _shard_of(F.col("h"), shards))
-    return spool(counted.groupBy("shard").applyInPandas(build, INDEX), "lines")
+    counted = spool(count_lines(docs), "counts")
+    shards = shards or max(1, -(-counted.count() // shard_lines))
+    return spool(counted.withColumn("shard", _shard_of(F.col("h"), shards)).groupBy("shard").applyInPandas(build, INDEX).withColumn("shards", F.lit(shards)), "lines")
 
 
-def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadcast_bytes: int = 32 << 20, task_lines: int = 4_000_000) -> DataFrame:
     """docs with text less the repeated lines, n_lines and n_removed.
 
     A line, trimmed of white space at its ends, that occurs ``min_count`` times or more in the table stays
@@ -166,16 +175,17 @@ def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadc
     doc_id count as one document, and each may keep the line. Columns named n_lines or n_removed are replaced, others pass.
 
     An index of up to ``broadcast_bytes`` is sent to every worker; beyond that, line hashes go to their
-    shard and only the removed lines come back to the documents. Both give the same rows.
+    shard, each document's once, and only the removed lines come back to the documents. A shard with more than ``task_lines`` lines, as one with a very frequent line, is in several
+    tasks. Both ways give the same rows.
     """
     need(docs, "doc_id", "text")
+    docs = readable(docs)
     spark = docs.sparkSession
-    shards = shards or partitions(spark)
     index = build_index(docs, shards)
     schema, kept = extended(docs, n_lines=T.IntegerType(), n_removed=T.IntegerType())
     schema["text"].nullable = True
     size = sum(F.length(c) for c in ("bits", "ranks", "prints", "counts", "owners"))
-    total = index.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    total, shards = index.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
 
     def cut(batch: pa.RecordBatch, gone_of) -> Iterator[pa.RecordBatch]:
         a = string_array(batch.column("text"))
@@ -187,7 +197,7 @@ def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadc
             text, removed = [], np.add.reduceat(gone, rows[:-1], dtype=np.int64) if len(gone) else np.zeros(0, np.int64)
             view = data.tobytes() if removed.any() else b""
             for r in np.flatnonzero(removed):
-                text.append(b"\n".join(view[starts[k] : ends[k]] for k in range(rows[r], rows[r + 1]) if not gone[k]).decode())
+                text.append(b"\n".join(view[starts[k] : ends[k]] for k in range(rows[r], rows[r + 1]) if not gone[k]).decode(errors="replace"))
             column = batch.column("text").slice(i, j - i)
             if len(text):
                 at = removed > 0
@@ -245,17 +255,28 @@ def dedup(docs: DataFrame, min_count: int = 4, shards: int | None = None, broadc
                 some = some[np.unique(np.stack((row[some].astype(np.uint64), h[some])), axis=1, return_index=True)[1]] if len(some) else some
                 yield pa.RecordBatch.from_arrays([pa.array(((h[some] >> U64(17)) % U64(shards)).astype(np.int32)), pa.array(h[some].view(np.int64)), pa.array(ids[row[some]]), pa.array(key[row[some]])], names=["shard", "h", "doc", "key"])
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = left.select(["h", "doc", "key"])
-        if not left.num_rows or not right.num_rows:
-            return out.slice(0, 0).append_column("own", pa.array([], pa.bool_()))
-        row = type("Row", (), right.to_pylist()[0])
-        counts, owners = Shard(row).probe(left["h"].to_numpy().view(np.uint64))
-        own = owners == left["doc"].to_numpy()
-        return out.append_column("own", pa.array(own)).filter(pa.array(counts >= min_count))
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard comes before the lines that ask it; lines pass through."""
+        names, shard = ["h", "doc", "key", "own"], None
+        for batch in batches:
+            at = batch.column(0)
+            for begin, end in _stretches(np.asarray(at), np.asarray(batch.column(1)), np.asarray(batch.column(2))):
+                part = batch.slice(begin, end - begin)
+                if part.column(2)[0].as_py() == 0:
+                    shard = Shard(type("Row", (), part.column("index")[0].as_py()))
+                    continue
+                counts, owners = shard.probe(part.column("h").to_numpy().view(np.uint64))
+                many = pa.array(counts >= min_count)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).filter(many) for k in names[:3]), pa.array(owners == part.column("doc").to_numpy()).filter(many)], names=names)
 
     asked = keyed.select("doc_id", "text", key_name).mapInArrow(hashes, "shard int, h long, doc long, key long")
-    answers = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "h long, doc long, key long, own boolean")
+    # tasks of a shard by its number of lines: a row per shard, of which there are as many as the distinct lines fill
+    tasks = index.select("shard", F.ceil(F.col("n_lines") / task_lines).cast("int").alias("tasks"))
+    parts = index.withColumn("tasks", F.ceil(F.col("n_lines") / task_lines).cast("int"))
+    held = [c for c in index.columns if c not in ("shard", "shards")]
+    shards_ = parts.select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("turn"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("h", "doc", "key")), F.struct(*held).alias("index"))
+    lines = asked.join(tasks, "shard").select("shard", F.pmod(F.xxhash64("doc", "key"), F.col("tasks")).cast("int").alias("turn"), F.lit(1).alias("kind"), "h", "doc", "key", F.lit(None).cast(shards_.schema["index"].dataType).alias("index"))
+    answers = shards_.union(lines).repartition(partitions(spark), "shard", "turn").sortWithinPartitions("shard", "turn", "kind").mapInArrow(probe, "h long, doc long, key long, own boolean")
     per_doc = answers.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("own"), F.col("h"))).alias(gone_name), F.collect_set(F.when(F.col("own"), F.col("h"))).alias(own_name)).withColumnsRenamed({"doc": doc_name, "key": right_key})
     joined = keyed.join(per_doc, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)) == F.col(doc_name)) & (F.col(key_name) == F.col(right_key)), "left").drop(doc_name, right_key, key_name)
 

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import need, partitions, spool
+from .common import need, partitions, readable, spool
 from .textbytes import U64, mix, slices, string_array, words
 
-BUCKETS = 16
+BUCKETS = 64  # one for each factor two of a context's frequency, so that none is shared
 _STEPS = 16  # of a factor two, by which probabilities are told apart in held-out counts
 _SLICE = 8 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -211,6 +211,7 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
     ``broadcast_words`` isn't sent to workers but joined, with the same scores.
     """
     need(docs, "doc_id", "text")
+    docs = readable(docs)
     spark = docs.sparkSession
     table = vocabulary_table(docs, held_percent)
     size, total, total_train = table.agg(F.sum(F.when(F.col("n") > 0, 1)), F.sum("n"), F.sum("n_train")).first()
@@ -270,14 +271,14 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
             d = _unpack(docs_, m, np.uint32)
             sums = np.bincount(d, np.repeat(value[at[bounds[k] : bounds[k + 1]]], ns[k])) if len(d) else np.zeros(0)
             some = np.flatnonzero(sums)
-            made.append((len(some), _pack(np.diff(some, prepend=0).astype(np.uint32)), _pack(sums[some].astype(np.float32))))
+            made.append((len(some), _pack(np.diff(some, prepend=0).astype(np.uint32)), _pack(sums[some])))
         return pa.table({"slice": batch["slice"], "size": pa.array([m[0] for m in made], pa.int64()), "docs": pa.array([m[1] for m in made], pa.binary()), "sums": pa.array([m[2] for m in made], pa.binary()), "ids": batch["ids"], "n_words": batch["n_words"]})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, n = table["ids"].combine_chunks().flatten(), np.asarray(table["n_words"].combine_chunks().flatten())
         total_ = np.zeros(len(n))
         for k, d, s in zip(table["size"].to_pylist(), table["docs"].to_pylist(), table["sums"].to_pylist(), strict=True):
-            total_[np.cumsum(_unpack(d, k, np.uint32))] += _unpack(s, k, np.float32)
+            total_[np.cumsum(_unpack(d, k, np.uint32))] += _unpack(s, k, np.float64)
         mean = total_ / np.maximum(n, 1)
         return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int32()), "log_prob": total_, "perplexity": pa.array(np.exp(-mean), mask=n == 0)})
 

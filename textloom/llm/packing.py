@@ -5,16 +5,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import need, partitions, spool
+from .common import need, partitions, readable, spool
+
+
+#: The least squares have a row per bin and a column per combination, of which there are about a twelfth of the square of the bins: 90 MB at this number.
+MOST_BINS = 512
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x >= 0 with least |a x - b|, by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    gram, right = a.T @ a, a.T @ b
-    w = right.copy()
-    tol = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
+    w = a.T @ b
+    tol = 1e-9 * max(1.0, float(np.abs(w).max(initial=0)))
     for _ in range(3 * n):
         free = ~passive & (w > tol)
         if not free.any():
@@ -22,7 +25,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         passive[np.argmax(np.where(free, w, -np.inf))] = True
         while True:
             on = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
+            s = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
             if (s > 0).all():
                 break
             bad = s <= 0
@@ -34,7 +37,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x[gone], passive[gone] = 0, False
         x[:] = 0
         x[on] = s
-        w = right - gram @ x
+        w = a.T @ (b - a @ x)
     return x
 
 
@@ -99,19 +102,20 @@ def plan(histogram: np.ndarray, depth: int = 3) -> list[tuple[tuple[int, ...], i
 def pack(docs: DataFrame, window: int = 2048, granule: int = 16, depth: int = 3) -> DataFrame:
     """One row per packed piece: pack_id, slot, doc_id, piece, start_word, n_words, pack_offset.
 
-    Lengths are whole words of ``text`` (runs outside white space). A longer text is cut into full
+    Lengths are whole words of ``text`` (runs outside ``[\\t\\n\\f\\r ]``, as in the other operators). A longer text is cut into full
     windows and a rest; each piece is held in units of ``granule`` words and starts at
     ``pack_offset`` of its window. Every word of every document is in exactly one piece.
 
     A null or empty text, or one of white space, has no piece. A null doc_id is packed as null.
     Rows repeated or of the same doc_id are packed each. Other columns are not read, whatever their names.
-    An empty table gives no rows.
+    An empty table gives no rows. More than ``MOST_BINS`` granules in a window are refused.
     """
-    if window % granule:
-        raise ValueError("window must be a multiple of granule")
+    if window % granule or window // granule > MOST_BINS:
+        raise ValueError(f"window must be a multiple of granule, at most {MOST_BINS} times as long")
     need(docs, "doc_id", "text")
+    docs = readable(docs)
     spark, bins = docs.sparkSession, window // granule
-    n = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\t\n\f\r ]+")), F.lit(0))
     lengths = spool(docs.select("doc_id", n.cast("long").alias("n")).where("n > 0"), "lengths")
     pieces = lengths.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / window))).alias("piece")).select(
         "doc_id", "n", "piece", F.least(F.lit(window), F.col("n") - F.col("piece") * window).cast("int").alias("n_words")

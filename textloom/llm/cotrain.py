@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import extended, need, spool, with_columns
+from .common import extended, need, readable, spool, with_columns
 from .textbytes import ALNUM, U64, WS, mix, raw, runs, slices, span_hash, string_array
 
 WORDS, ENDS = 1 << 17, 1 << 12
@@ -204,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, rounds: int = 2, g
     """
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "quality")
+    docs = readable(docs)
     spark = docs.sparkSession
     per = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min(F.col("quality").cast("int")) > 0).alias("y"))
     sample = spool(per.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most), "quality")
@@ -268,7 +269,8 @@ def _surest(docs: DataFrame, views: _Views, taken: np.ndarray, wanted: tuple[int
                         q = p if good else 1 - p
                         at = np.flatnonzero(known & (q >= sure))
                         k, c = np.concatenate((best[v, good][0], ids[at])), np.concatenate((best[v, good][1], q[at]))
-                        order = np.lexsort((k, -c))[: wanted[good]]
+                        order = np.lexsort((k, -c))
+                        order = order[np.sort(np.unique(k[order], return_index=True)[1])][: wanted[good]]  # a doc_id counts once
                         best[v, good] = k[order], c[order]
         for (v, good), (k, c) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), v), pa.int32()), pa.array(np.full(len(k), good)), pa.array(k), pa.array(c)], names=["view", "good", "doc_id", "p"])
@@ -277,7 +279,7 @@ def _surest(docs: DataFrame, views: _Views, taken: np.ndarray, wanted: tuple[int
     out = {}
     for v in (0, 1):
         for good in (False, True):
-            top = found.where((F.col("view") == v) & (F.col("good") == good)).orderBy(F.desc("p"), "doc_id").limit(wanted[good])
+            top = found.where((F.col("view") == v) & (F.col("good") == good)).groupBy("doc_id").agg(F.max("p").alias("p")).orderBy(F.desc("p"), "doc_id").limit(wanted[good])
             if ids := [r.doc_id for r in top.select("doc_id").collect()]:
                 out[v, good] = ids
     return out
@@ -291,6 +293,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model everything has the chance one half and is kept. Columns of these names are replaced, others pass.
     """
     need(docs, "text")
+    docs = readable(docs)
     schema, kept = extended(docs, p_content=T.DoubleType(), p_meta=T.DoubleType(), quality=T.DoubleType(), keep=T.BooleanType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
     has = {c: c in docs.columns for c in ("lang", "source")}

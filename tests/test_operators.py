@@ -29,7 +29,7 @@ def test_cascade_equals_sequential_sets(spark):
 
 def test_curation_counts_holdouts_and_conflicts(spark):
     rows = [(0, "A held out message", "x", "en"), (1, "a held out MESSAGE!", "x", "en"), (2, "one text of two labels", "x", "en"), (3, "One text of two labels", "y", "en"), (4, "a message to be kept", "x", "en"), (5, None, "x", "en")]
-    df = spark.createDataFrame(rows, "ord long, text string, label string, language string")
+    df = spark.createDataFrame(rows, "ord long, text string, label string, language string").withColumn("source", F.lit("s"))
     holdout = spark.createDataFrame([("a held out message",), (None,)], "text string")
     got = {r.ord: r.reason for r in curation.curate(df, holdout).collect()}
     assert got == {0: "holdout-exact", 1: "holdout-near", 2: "cross-label-conflict", 3: "cross-label-conflict", 4: None, 5: "empty"}
@@ -68,14 +68,19 @@ def test_similar_pairs_against_brute_force(spark):
 
     canon = {i: re.sub(r"[^a-z]", "", t.lower()) for i, _, t in rows if t}
     grams = {i: {c[k : k + 3] for k in range(len(c) - 2)} for i, c in canon.items()}
-    expected = set()
-    for i, li, _ in rows:
-        for j, lj, _ in rows:
-            if i < j and li == lj and i in canon and j in canon:
+    first, expected = {}, set()
+    for i, label, _ in rows:  # copies are paired with the first, and first rows with one another
+        if canon.get(i):
+            first.setdefault((label, canon[i]), i)
+            if first[label, canon[i]] != i:
+                expected.add((first[label, canon[i]], i))
+    for i in first.values():
+        for j in first.values():
+            if i < j and dict((n, x) for n, x, _ in rows)[i] == dict((n, x) for n, x, _ in rows)[j]:
                 a, b = canon[i], canon[j]
-                if a and (a == b or min(len(a), len(b)) >= 12 and 2 * len(grams[i] & grams[j]) / (len(grams[i]) + len(grams[j])) >= 0.92):
+                if min(len(a), len(b)) >= 12 and 2 * len(grams[i] & grams[j]) / (len(grams[i]) + len(grams[j])) >= 0.92:
                     expected.add((i, j))
-    assert {(r.a, r.b) for r in curation.similar_pairs(df, block=8).collect()} == expected and len(expected) > 5
+    assert {(r.a, r.b) for r in curation.similar_pairs(df).collect()} == expected and len(expected) > 5
 
 
 def test_rules(spark):
@@ -153,11 +158,19 @@ def test_selection_opens_fallback_on_quality_only(spark):
     assert got["a2"][:3] == (True, True, True) and got["b2"][0] is False and got["c"][3] == ["report-missing"]
 
 
-def test_admission_is_sequential():
+def test_admission_is_sequential(spark):
     rules = [{"replacements": [["blue", "a rather green"], ["boat", "ship with many sails"]], "id": "r", "languages": ["en"], "labels": ["x"]}]
     base = [(1, "the blue boat sails today", "x", "en"), (2, "The Blue boat sails today!", "x", "en"), (3, "the blue boat sails today", "y", "en"), (4, "held out text is here", "x", "en")]
-    got = augmentation.augment_rows(base, rules, [{"label": "x", "text": "an edge case row", "family": "f"}], ["held out text is here"], 2, 1, 0.04)
-    assert [(n, f, why) for n, _, f, _, _, why in got] == [(1, "base", None), (2, "base", "near-duplicate"), (3, "base", "cross-label-conflict"), (4, "base", "holdout-exact"), (None, "boundary:f", None), (1, "replacement:r", None)]
+    df, held = spark.createDataFrame(base, "ord long, text string, label string, language string"), spark.createDataFrame([("held out text is here",)], "text string")
+    edges = [{"label": "x", "text": "an edge case row", "family": "f"}]
+    got = sorted(((r.family, r.ord or 0, r.text, r.reason) for r in augmentation.augment(df.repartition(3), rules, edges, held, 2, 1).collect()), key=lambda r: r[:3])
+    assert [(f, n, why) for f, n, _, why in got] == [("base", 1, None), ("base", 2, "near-duplicate"), ("base", 3, "cross-label-conflict"), ("base", 4, "holdout-exact"), ("boundary:f", 0, None), ("replacement:r", 1, None)]
+    assert got[-1][2] == "the a rather green boat sails today"
+    # with room for one row only the boundary row comes in, and no replacement is considered
+    few = {r.family: r.reason for r in augmentation.augment(df, rules, edges + [{"label": "x", "text": "another edge case"}], held, 1, 1).where("family <> 'base'").collect()}
+    assert few == {"boundary:f": None, "boundary:unspecified": "label-cap"}
+    small = {r.family: r.reason for r in augmentation.augment(df, rules, [], held, 2, 1, 0.9).where("family <> 'base'").collect()}
+    assert small == {"replacement:r": "too-similar"}
 
 
 def test_augment_frame(spark):

@@ -44,11 +44,15 @@ def test_pages_and_flattening(spark, tmp_path):
         files.read_pages(spark, write(tmp_path / "e.json", [{"serverErrorCode": "BAD"}])).collect()
 
 
+def json_lines(path):
+    """The lines of all parts: some may be empty."""
+    return [json.loads(line) for part in sorted(path.glob("part-*")) for line in part.read_text().splitlines()]
+
+
 def test_sinks_store_and_digests(spark, tmp_path):
     df = spark.createDataFrame([("t", "l", None)], "text string, label string, language string")
     files.write_rows(df, str(tmp_path / "out"))
-    line = next((tmp_path / "out").glob("part-*")).read_text().strip()
-    assert json.loads(line) == {"text": "t", "label": "l", "language": None, "source": None, "sourceLabel": None}
+    assert json_lines(tmp_path / "out") == [{"text": "t", "label": "l", "language": None, "source": None, "sourceLabel": None}]
     store = files.SampleStore(spark, str(tmp_path / "store"))
     assert store.count() == 0
     one = spark.createDataFrame([("1", "l", "t", 1)], store.schema)
@@ -85,3 +89,51 @@ def test_unseen_samples(spark, tmp_path):
     spark.createDataFrame(rows, "id string, label string, text string").coalesce(1).write.parquet(at)
     made = run_stream(spark, events.unseen_samples(spark.readStream.schema("id string, label string, text string").parquet(at)), tmp_path, "unseen")
     assert sorted(r.id for r in made.collect()) == ["1", "3", "5"]
+
+
+def test_csv_without_carriage_returns(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes(b'a,b\r\n"one\r\ntwo",3\r\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "w.csv")).collect()] == [("one\ntwo", "3")]
+
+
+def test_order_over_files(spark, tmp_path):
+    paths = [write(tmp_path / f"{n}.json", [{"text": f"{n}{k}", "label": "l"} for k in range(30)] + [{"text": "", "label": "l"}]) for n in "ba"]
+    got = files.in_order(files.read_rows(spark, paths))
+    assert [r.text for r in got.orderBy("ord").collect()] == [f"{n}{k}" for n in "ba" for k in range(30)]
+    assert sorted(r.ord for r in got.collect()) == list(range(60))
+    assert [r.text for r in files.limited(got, 3).collect()] == ["b0", "b1", "b2"] and files.limited(got, None).count() == 60
+    assert files.in_order(files.read_rows(spark, [])).count() == 0
+
+
+def test_paged_queries(spark):
+    records = [{"recordName": f"r{k}", "fields": {"createdAt": {"value": k // 2}}} for k in range(450)]
+
+    def fetch(size, marker):
+        at = int(marker or 0)
+        return {"records": records[at : at + size], "continuationMarker": str(at + size) if at + size < len(records) else None}
+
+    assert len(list(files.paged(fetch))) == 450 and [r["recordName"] for r in files.paged(fetch, most=205)] == [f"r{k}" for k in range(205)]
+    assert [r["recordName"] for r in files.paged(fetch, since=222)] == [f"r{k}" for k in range(446, 450)]
+    with pytest.raises(ValueError, match="BAD"):
+        list(files.paged(lambda size, marker: {"serverErrorCode": "BAD"}))
+    with pytest.raises(ValueError, match="order"):
+        list(files.paged(lambda size, marker: {"records": records[:1:-1]}))
+    df = spark.createDataFrame([(f"r{k}", float(k)) for k in range(9)], "recordName string, createdAt double")
+    assert [r.recordName for r in files.since(df, 3, 2).collect()] == ["r4", "r5"] and files.since(df, None).count() == 9
+    assert [r.recordName for r in files.page_after(df, None, "createdAt", "recordName", shown=195).collect()] == ["r8", "r7", "r6", "r5", "r4"]
+    assert files.is_last_page(29, 59) and files.is_last_page(30, 200) and not files.is_last_page(30, 60)
+
+
+def test_curated_sinks(spark, tmp_path):
+    from textloom.operators import curation
+
+    rows = spark.createDataFrame([(0, "a message to be kept", "x", "s", "en"), (1, "short", "x", "s", "en"), (2, "your code is {{CODE}} now", "x", "t", "en")], "ord long, text string, label string, source string, language string")
+    made = curation.curated_rows(rows, curation.curate(rows, spark.createDataFrame([], "text string")))
+    files.write_curated(made, str(tmp_path / "kept"), str(tmp_path / "gone"), str(tmp_path / "report"))
+    kept = json_lines(tmp_path / "kept")
+    assert len(kept) == 2 and all(set(r) == {"text", "label", "source", "sourceLabel", "language"} for r in kept) and not any("{{" in r["text"] for r in kept)
+    assert json_lines(tmp_path / "gone") == [{"text": "short", "label": "x", "source": "s", "language": "en", "reason": "too-short"}]
+    assert json_lines(tmp_path / "report") == [{"source": "s", "reason": "kept", "n": 1, "rehydrated": 0}, {"source": "s", "reason": "too-short", "n": 1, "rehydrated": 0}, {"source": "t", "reason": "kept", "n": 1, "rehydrated": 1}]
+    files.write_metrics({"a": spark.createDataFrame([(1,)], "x int"), "b": spark.createDataFrame([("l", 0.5)], "label string, accuracy double")}, str(tmp_path / "metrics"))
+    assert sorted(json_lines(tmp_path / "metrics"), key=str) == [{"kind": "a", "x": 1}, {"kind": "b", "label": "l", "accuracy": 0.5}]
+    assert files.folder_bytes(spark, str(tmp_path / "gone")) > 50

@@ -30,7 +30,8 @@ def test_signatures(spark):
     assert near[0] == near[1] == "pay0eurnow" and near[2] == "验证码0a"
     a = "[Shop] Your code AB12345678 at https://x.io/1 reply STOP to end"
     b = "[Other] Your code ZZ99999999 at https://y.io/22 reply stop"
-    assert X.template_of(a) == X.template_of(b) != X.template_of("Your parcel is here")
+    made = column(spark, [a, b, "Your parcel is here", "ＦＵＬＬ ｗｉｄｔｈ", "full width", "état civil de là-bas", None], X.template_signature)
+    assert made[0] == made[1] != made[2] and made[3] == made[4] and made[5] == "étatcivildelàbas" and made[6] is None
     assert column(spark, ["é  x \n y"], X.normalize) == [unicodedata.normalize("NFC", "é") + " x y"]
 
 
@@ -61,3 +62,18 @@ def test_small_functions(spark):
     v = column(spark, ["hello", "", None], X.hashed_ngrams)
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-9 and not any(v[1]) and v[2] is None
     assert column(spark, ["a"], X.fnv64)[0] == X.fnv1a(b"a")
+
+
+def test_normal_forms_equal_python(spark):
+    texts = ["plain", "é composed", "e\u0301 combined", "\u212b ngström", "ﬁ ligature", "가 \u1100\u1161", "½ ² ª", "\u0958 \u09dc", "か\u3099", "\u2126 \ufb1d", "\U0002f800", None, ""]
+    assert column(spark, texts, X.nfc) == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    every = [chr(c) for c in range(0x20, 0x2FFFF, 7) if not 0xD800 <= c < 0xE000]
+    assert column(spark, every, X.nfc) == [unicodedata.normalize("NFC", t) for t in every]
+    low = [unicodedata.normalize("NFKC", t) for t in every]
+    got = column(spark, every, lambda t: X._normal(t, X._SOME_COMPATIBLE, X._COMPATIBLE, X._nfkc))
+    assert got == low
+
+
+def test_names_and_check_digits(spark):
+    assert column(spark, ["Spoken English (US)", "MANDARIN", "Klingon", None], X.language_name) == ["en", "zh", None, None]
+    assert column(spark, ["11010519491231002", "1101051949123100", None], X.id_check_digit) == ["X", None, None]

@@ -6,6 +6,8 @@ import difflib
 import hashlib
 import re
 import unicodedata
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,32 @@ SCRIPTS = (("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("th", r"[฀-๿]"), ("z
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+#: Texts of these characters alone are composed already: all that decompose, combine or have another form are left out, and some that don't.
+_COMPOSED = r"\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3001}-\x{3029}\x{3030}-\x{3096}\x{309B}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF00}-\x{FFEF}"
+_COMPATIBLE = r"\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20AC}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+
+
+#: What most texts lack, and is looked for first, as many ranges take their time.
+_SOME_COMPOSED, _SOME_COMPATIBLE = r"[^\x00-\x{2FF}]", r"[^\x00-\x{131}]|[\xA0\xA8\xAA\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE]"
+
+
+def _normal(text: Column, some: str, plain: str, form) -> Column:
+    """The normal form; only texts with other characters than the plain ones, whose form they are, go to Python."""
+    other = (F.octet_length(text) > F.length(text)) & text.rlike(some) & text.rlike(f"[^{plain}]")
+    return F.when(other, form(F.when(other, text))).otherwise(text)
+
+
+def nfc(text: Column) -> Column:
+    return _normal(text, _SOME_COMPOSED, _COMPOSED, _nfc)
 
 
 def collapse(text: Column) -> Column:
@@ -46,41 +72,44 @@ def near_signature(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Nd}+", "0"), r"[^\p{L}\p{N}]+", ""), 1, 80)
 
 
-_LINK = re.compile(r"http(?:s)?:/{2}\S+")
-_MAIL = re.compile(r"\b\w(?:\w|[.+-])*@\w(?:\w|[.-])*[.][a-z][a-z]+\b")
-_BRACKETED = "|".join(f"{a}[^{b}]{{1,30}}{b}" for a, b in ((r"\[", r"\]"), ("【", "】")))
-_TAG = re.compile(rf"\s*(?:{_BRACKETED}|(?:official\s*|公式\s*：?(?=:)):|公式\s*：)\s*")
-_FOOTER = re.compile("|".join(rf"{x}.*$" for x in (r"(?:txt|reply)\s+stop\b", r"回复\s*[a-z]\s*退订", "配信停止")))
-_CODE = re.compile(r"\b[a-z]{1,5}(?:-|_)?[0-9a-z]{6}[0-9a-z]*\b")
+_WORD = r"[\p{L}\p{N}_]"
+_START, _END = rf"(?<!{_WORD})", rf"(?!{_WORD})"
+#: What differs from one sending of a template to the next, and what it becomes; in the order in which they are replaced.
+TEMPLATE_RULES = (
+    (rf"https?://\S+|{_START}{_WORD}[\p{{L}}\p{{N}}_.+-]*+@{_WORD}[\p{{L}}\p{{N}}_.-]*\.[a-z]{{2,}}{_END}", " dynamicurl "),
+    (r"^\s*(?:\[[^\]]{1,30}\]|【[^】]{1,30}】|official\s*:|公式\s*[:：])\s*", ""),
+    (r"(?:reply|txt)\s+stop(?![\p{L}\p{N}_]).*$|回复\s*[a-z]\s*退订.*$|配信停止.*$", ""),
+    (rf"{_START}[a-z]{{1,5}}[-_]?[a-z0-9]{{6,}}+{_END}", " dynamicid "),
+    (r"\p{Nd}+", " dynamicnumber "),
+    (r"[^\p{L}\p{N}]+", ""),
+)
 
 
-def template_of(text: str) -> str:
-    """The text without what differs from one sending of a template to the next."""
-    made = unicodedata.normalize("NFKC", text).lower()
-    made = _MAIL.sub(" dynamicurl ", _LINK.sub(" dynamicurl ", made))
-    if tag := _TAG.match(made):
-        made = made[tag.end() :]
-    made = _CODE.sub(" dynamicid ", _FOOTER.sub("", made))
-    return "".join(re.findall(r"[^\W_]+", re.sub(r"\d+", " dynamicnumber ", made)))
-
-
-@F.pandas_udf(T.StringType())
-def template_signature(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else template_of(t))
+def template_signature(text: Column) -> Column:
+    """The text's letters and digits without what differs from one sending of a template to the next."""
+    made = F.lower(_normal(text, _SOME_COMPATIBLE, _COMPATIBLE, _nfkc))
+    for pattern, to in TEMPLATE_RULES:
+        made = F.regexp_replace(made, pattern, to)
+    return made
 
 
 def detect_language(text: Column) -> Column:
     """By script, and for Latin letters by stop words (1 each) and accents (2 each); en below 2. The first language wins a tie."""
-    low = F.lower(text)
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)))
-    scores = []
-    for k, (code, (stops, accents)) in enumerate(MARKERS.items()):
-        score = F.size(F.array_intersect(words, F.array(*map(F.lit, stops))))
-        for a in accents:
-            score = score + F.contains(low, F.lit(a)).cast("int") * 2
-        scores.append(F.struct(score.alias("score"), F.lit(-k).alias("place"), F.lit(code).alias("code")))
-    # each score stands in the plan once
-    best = F.filter(F.array(F.array_max(F.array(*scores))), lambda b: b["score"] >= 2)
+    every = sorted({w for stops, _ in MARKERS.values() for w in stops})
+
+    def score(x: Column) -> Column:
+        low, words = x["low"], x["words"]
+        scores = []
+        for k, (code, (stops, accents)) in enumerate(MARKERS.items()):
+            n = F.size(F.array_intersect(words, F.array(*map(F.lit, stops))))
+            for a in accents:
+                n = n + F.contains(low, F.lit(a)).cast("int") * 2
+            scores.append(F.struct(n.alias("score"), F.lit(-k).alias("place"), F.lit(code).alias("code")))
+        return F.array_max(F.array(*scores))
+
+    # bound by functions on arrays of one, so that the lower case and its words, of which few matter, are made once for each text that needs them
+    found = F.transform(F.array(F.lower(text)), lambda low: F.struct(low.alias("low"), F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)), lambda w: w.isin(*every))).alias("words")))
+    best = F.filter(F.transform(found, score), lambda b: b["score"] >= 2)
     latin = F.coalesce(F.get(best, F.lit(0))["code"], F.lit("en"))
     out = None
     for code, pattern in SCRIPTS:
@@ -98,13 +127,24 @@ def public_language(text: Column) -> Column:
     return F.when(text.rlike(SCRIPTS[0][1]), "ja").when(text.rlike(SCRIPTS[1][1]), "ko").when(text.rlike(SCRIPTS[3][1]), "zh").when(text.isNotNull(), "en")
 
 
-def language_hint(hint: Column, allowed: tuple[str, ...] = (*SPACED, "ja", "ko", "th", "zh")) -> Column:
+LANGUAGES = (*SPACED, "ja", "ko", "th", "zh")
+
+
+def language_hint(hint: Column, allowed: tuple[str, ...] = LANGUAGES) -> Column:
     """The language of a tag such as en_US, with three-letter codes known; unknown if it isn't allowed."""
     code = F.element_at(F.split(F.replace(F.lower(F.trim(hint)), F.lit("_"), F.lit("-")), "-"), 1)
     code = F.when(code == "cmn", "zh").when(code == "eng", "en").when(code == "jpn", "ja").otherwise(code)
     return F.when(code.isin(*allowed), code).otherwise("unknown")
 
 
+NAMES = {"chinese": "zh", "mandarin": "zh", "japanese": "ja", "english": "en", "spanish": "es", "portuguese": "pt", "french": "fr", "german": "de", "russian": "ru", "korean": "ko", "indonesian": "id", "vietnamese": "vi", "thai": "th"}
+
+
+def language_name(name: Column) -> Column:
+    """The code of the first language whose English name is in the text, else null."""
+    return F.coalesce(*(F.when(F.contains(F.lower(name), F.lit(n)), code) for n, code in NAMES.items()))
+
+
 def informative_share(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) / F.greatest(F.length(text), F.lit(1))
 
@@ -146,6 +186,15 @@ def luhn(digits: Column) -> Column:
     return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
+_ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+
+
+def id_check_digit(digits: Column) -> Column:
+    """The eighteenth character of a resident number, of its first seventeen digits; null where they aren't seventeen digits."""
+    total = reduce(add, (F.substring(digits, k + 1, 1).cast("int") * w for k, w in enumerate(_ID_WEIGHTS)))
+    return F.when(digits.rlike("^[0-9]{17}$"), F.substring(F.lit("10X98765432"), (F.when(digits.rlike("^[0-9]{17}$"), total).otherwise(0) % 11 + 1).cast("int"), F.lit(1)))
+
+
 def canonical(text: Column) -> Column:
     """For comparing submissions: letters, marks and digits in lower case, each run of digits as one #."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", ""), r"\p{Nd}+", "#")
@@ -212,6 +261,19 @@ def version_at_least(version: Column, least: Column) -> Column:
     return F.struct(*(part(version, i).alias(f"p{i}") for i in (1, 2, 3))) >= F.struct(*(part(least, i).alias(f"p{i}") for i in (1, 2, 3)))
 
 
+def compatibility(schema: Column, abi: Column, app: Column, least_app: Column, most_app: Column, system: Column, least_system: Column, release: Column, current: Column, schemas: tuple[int, ...] = (2,), abis: tuple[int, ...] = (2,)) -> Column:
+    """Why a release can't be installed, the first reason that applies, or compatible."""
+    return (
+        F.when(~F.coalesce(schema.isin(*schemas), F.lit(False)), "unsupported-schema")
+        .when(~F.coalesce(abi.isin(*abis), F.lit(False)), "unsupported-abi")
+        .when(app < least_app, "app-too-old")
+        .when(app > most_app, "app-too-new")
+        .when(~version_at_least(system, least_system), "system-too-old")
+        .when(release < current, "release-rollback")
+        .otherwise("compatible")
+    )
+
+
 def is_sha256(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
 

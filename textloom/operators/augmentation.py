@@ -2,110 +2,109 @@
 
 from __future__ import annotations
 
-import difflib
-import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as X
 
-ADMITTED = "ord long, step int, family string, label string, text string, reason string"
+from .curation import digest, holdout_flags
 
 
-def _near(text: str) -> str:
-    import regex
-
-    return regex.sub(r"[^\p{L}\p{N}]+", "", regex.sub(r"\p{Nd}+", "0", text.lower()))[:80]
-
-
-def _normal(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFC", text).split())
+class Admission:
+    """Admits candidates one by one by their keys: what is in the holdout, or like an admitted one, is refused, and a refused one leaves no trace."""
 
+    def __init__(self) -> None:
+        self.labels: dict[bytes, str] = {}
+        self.nears: set[tuple[str, bytes]] = set()
+        self.templates: set[tuple[str, bytes]] = set()
 
-class Admission:
-    """Admits rows one by one: what is in the holdout, or like an admitted row, is refused, and a refused row leaves no trace."""
-
-    def __init__(self, holdout: Iterable[str] = ()):
-        texts = [_normal(t) for t in holdout]
-        self.exact, self.near = {t.lower() for t in texts}, {_near(t) for t in texts}
-        self.labels: dict[str, str] = {}
-        self.nears: set[tuple[str, str]] = set()
-        self.templates: set[tuple[str, str]] = set()
-
-    def reason(self, text: str, label: str) -> str | None:
-        """Why the row is refused; None admits it."""
-        text = _normal(text)
-        low, near, template = text.lower(), _near(text), X.template_of(text)
+    def reason(self, label: str, low: bytes, near: bytes, template: bytes | None, exact: bool, rough: bool) -> str | None:
+        """Why the candidate is refused; None admits it. template is None where nothing is left of the text."""
         checks = (
-            ("holdout-exact", low in self.exact),
-            ("holdout-near", near in self.near),
+            ("holdout-exact", exact),
+            ("holdout-near", rough),
             ("cross-label-conflict", self.labels.get(low, label) != label),
             ("near-duplicate", (label, near) in self.nears),
-            ("template-duplicate", bool(template) and (label, template) in self.templates),
+            ("template-duplicate", template is not None and (label, template) in self.templates),
         )
         for name, hit in checks:
             if hit:
                 return name
         self.labels[low] = label
         self.nears.add((label, near))
-        if template:
+        if template is not None:
             self.templates.add((label, template))
         return None
 
 
-def augment_rows(base: Sequence[tuple[int, str, str, str]], rules: Sequence[dict], boundary: Sequence[dict], holdout: Iterable[str], per_label: int, per_row: int, least_change: float) -> list[tuple]:
-    """(ord, step, family, label, text, reason) of base rows (ord, text, label, language), boundary rows and replacements, in that order."""
-    gate, made, out = Admission(holdout), Counter(), []
-
-    def put(n, family: str, label: str, text: str, fresh: bool = True) -> bool:
-        why = gate.reason(text, label)
-        out.append((n, len(out), family, label, text, why))
-        if fresh and why is None:
-            made[label] += 1
-        return why is None
-
-    for n, text, label, _ in base:
-        put(n, "base", label, text, fresh=False)
-    for row in boundary:
-        if made[row["label"]] >= per_label:
-            out.append((None, len(out), "boundary", row["label"], row["text"], "label-cap"))
-        else:
-            put(None, "boundary:" + (row.get("family") or "unspecified"), row["label"], row["text"])
-    for n, text, label, language in base:
-        swaps = ((r["id"], a, b) for r in rules if label in r["labels"] and language in r["languages"] for a, b in r["replacements"] if a in text)
-        variants = 0
-        for name, a, b in swaps:
-            if variants >= per_row or made[label] >= per_label:
-                break
-            new = text.replace(a, b, 1)
-            if 1 - difflib.SequenceMatcher(None, text, new).ratio() < least_change:
-                out.append((n, len(out), f"replacement:{name}", label, new, "too-similar"))
-            else:
-                variants += put(n, f"replacement:{name}", label, new)
-    return out
+def admitted(candidates: Iterable, per_label: int, per_row: int, least_change: float) -> Iterator[tuple[int, str | None]]:
+    """(id, reason) of the candidates that are considered, which come in order: base rows, boundary rows, then the replacements of each base row.
+
+    ``per_label`` bounds what is admitted beyond the base of a label, and ``per_row`` the replacements of a base row; a replacement beyond either isn't considered.
+    """
+    gate, made, variants = Admission(), Counter(), Counter()
+    for c in candidates:
+        full = c.phase > 0 and made[c.label] >= per_label
+        if c.phase == 2 and (full or variants[c.ord] >= per_row):
+            continue
+        if c.phase == 2 and c.change < least_change:
+            yield c.id, "too-similar"
+            continue
+        why = "label-cap" if full else gate.reason(c.label, c.low, c.near, c.template, c.in_exact, c.in_near)
+        if c.phase and why is None:
+            made[c.label] += 1
+            variants[c.ord] += c.phase == 2
+        yield c.id, why
 
 
 def augment(base: DataFrame, rules: Sequence[dict], boundary: Sequence[dict] = (), holdout: DataFrame | None = None, per_label: int = 120, per_row: int = 1, least_change: float = 0.04) -> DataFrame:
-    """Every row considered, with the reason it was refused for or null; base has ord, text, label and language.
+    """ord, family, label, text and reason of every candidate considered, reason null where it is admitted; base has ord, text, label and language.
 
-    Admission depends on the rows before, across labels, so it's one ordered pass: base sets are curated and
-    capped per source, label and language before, which bounds them whatever the corpus.
+    Candidates, their keys and how much they change are made by all tasks. Admission depends on everything admitted before, across labels, so it is one ordered pass, over digests and not
+    texts: base sets are curated and capped per source, label and language before, which bounds them by the taxonomy whatever the corpus.
     """
-    from pyspark.sql import types as T
-
     spark = base.sparkSession
-    held = [r.text for r in holdout.where("text is not null").select("text").collect()] if holdout is not None else []
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("ord")[["ord", "text", "label", "language"]].itertuples(index=False, name=None))
-        made = augment_rows(rows, rules, boundary, held, per_label, per_row, least_change)
-        return pd.DataFrame(made, columns=["ord", "step", "family", "label", "text", "reason"]).astype({"ord": "Int64"})
-
     clean = base.where("text is not null and label is not null").select("ord", "text", "label", "language")
-    return clean.groupBy(F.lit("all")).applyInPandas(run, ADMITTED) if not clean.isEmpty() else spark.createDataFrame([], T._parse_datatype_string(ADMITTED))
+    none = F.lit(None)
+    parts = [clean.select(F.lit(0).alias("phase"), "ord", F.lit(0).alias("k"), F.lit("base").alias("family"), "label", "text", none.cast("string").alias("before"))]
+    if boundary:
+        given = [(k, "boundary:" + (b.get("family") or "unspecified"), b["label"], b["text"]) for k, b in enumerate(boundary)]
+        parts.append(spark.createDataFrame(given, "k int, family string, label string, text string").select(F.lit(1).alias("phase"), none.cast("long").alias("ord"), "k", "family", "label", "text", none.cast("string").alias("before")))
+    swaps = [(r, a, b) for r in rules for a, b in r["replacements"]]
+    if swaps:
+        made = [
+            F.when(F.col("label").isin(*r["labels"]) & F.col("language").isin(*r["languages"]) & F.contains("text", F.lit(a)), F.struct(F.lit(k).alias("k"), F.lit(f"replacement:{r['id']}").alias("family"), X.replace_first(F.col("text"), F.lit(a), F.lit(b)).alias("text")))
+            for k, (r, a, b) in enumerate(swaps)
+        ]
+        found = clean.select("ord", "label", F.col("text").alias("before"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("s"))
+        parts.append(found.select(F.lit(2).alias("phase"), "ord", "s.k", "s.family", "label", "s.text", "before"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.withColumn("change", F.when(F.col("phase") == 2, X.semantic_change("before", F.when(F.col("phase") == 2, F.col("text")))).otherwise(1.0)).drop("before")
+    every = every.withColumn("id", F.xxhash64("phase", "ord", "k"))
+    normal = X.normalize(F.col("text"))
+    keyed = every.select("id", "phase", "ord", "k", "label", "change", normal.alias("text"))
+    held = holdout.select(X.normalize(F.col("text")).alias("text")) if holdout is not None else spark.createDataFrame([], "text string")
+    keys = holdout_flags(keyed, held).select("id", "phase", "ord", "k", "label", "change", "in_exact", "in_near", digest(F.lower("text")).alias("low"), digest(X.near_signature(F.col("text"))).alias("near"), digest(F.nullif(X.template_signature(F.col("text")), F.lit(""))).alias("template"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one pass over batches: what is kept are the digests of admitted rows
+        rows = (row for pdf in batches for row in pdf.itertuples(index=False))
+        said: list[tuple[int, str | None]] = []
+        for one in admitted(rows, per_label, per_row, least_change):
+            said.append(one)
+            if len(said) == 10_000:
+                yield pd.DataFrame(said, columns=["id", "reason"])
+                said = []
+        if said:
+            yield pd.DataFrame(said, columns=["id", "reason"])
+
+    answers = keys.repartition(1).sortWithinPartitions("phase", "ord", "k").mapInPandas(run, "id long, reason string")
+    return every.join(answers, "id").select("ord", "family", "label", "text", "reason")
 
 
 def augmentation_report(considered: DataFrame) -> DataFrame:

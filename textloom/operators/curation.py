@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions import text as X
 
+from . import embedding
+
 
 def digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
@@ -24,27 +26,32 @@ def first_reason(*reasons: Column) -> Column:
     return F.coalesce(*reasons)
 
 
-def assessment_reason(labels: Sequence[str] | None = None, keep: float = 0.25) -> Column:
+def assessment_reason(labels: Sequence[str] | None = None, keep: float = 0.25, text: str = "text") -> Column:
     """Of columns label, text, predicted_label, predicted_confidence, agreement and model_version: invalid-assessment, or a sure disagreement that the hash sample drops."""
     predicted, sure, agree = F.col("predicted_label"), F.col("predicted_confidence"), F.col("agreement")
     some = predicted.isNotNull() | sure.isNotNull() | agree.isNotNull()
     known = predicted.isin(*labels) if labels is not None else predicted.isNotNull()
     valid = known & sure.between(0, 1) & agree.isin(0, 1) & ((agree == 1) == (predicted == F.col("label")))
-    dropped = (agree == 0) & (sure >= 0.8) & (X.hash_fraction(F.col("label"), F.col("text"), F.col("model_version")) >= min(max(keep, 0.0), 1.0))
+    dropped = (agree == 0) & (sure >= 0.8) & (X.hash_fraction(F.col("label"), F.col(text), F.col("model_version")) >= min(max(keep, 0.0), 1.0))
     return F.when(some, F.when(~F.coalesce(valid, F.lit(False)), "invalid-assessment").when(dropped, "remote-disagreement-downsample"))
 
 
-def holdout_flags(df: DataFrame, holdout: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df (with text) and in_exact, in_near: whether its text, or its near signature, is in the holdout. Keys are broadcast up to ``most`` of them."""
-    near = X.near_signature(F.col("text"))
-    keys = holdout.where("text is not null").select(F.explode(F.array(F.struct(F.lit(True).alias("whole"), digest(F.lower("text")).alias("key")), F.struct(F.lit(False).alias("whole"), digest(near).alias("key")))).alias("k")).select("k.*").distinct()
+def _held_out(df: DataFrame, holdout: DataFrame, low: str, near: str, most: int = 1_000_000) -> DataFrame:
+    """df with in_exact and in_near, by its digests of the text in lower case and of the near signature. Keys are broadcast up to ``most`` of them."""
+    rough_key = digest(X.near_signature(F.col("text")))
+    keys = holdout.where("text is not null").select(F.explode(F.array(F.struct(F.lit(True).alias("whole"), digest(F.lower("text")).alias("key")), F.struct(F.lit(False).alias("whole"), rough_key.alias("key")))).alias("k")).select("k.*").distinct()
     small = keys.limit(most + 1).count() <= most
     hint = F.broadcast if small else lambda x: x
     exact = hint(keys.where("whole").select(F.col("key").alias("__exact"), F.lit(True).alias("in_exact")))
     rough = hint(keys.where("not whole").select(F.col("key").alias("__near"), F.lit(True).alias("in_near")))
-    made = df.withColumns({"__e": digest(F.lower("text")), "__n": digest(near)})
-    made = made.join(exact, F.col("__e") == F.col("__exact"), "left").join(rough, F.col("__n") == F.col("__near"), "left")
-    return made.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_exact", "in_near")}).drop("__e", "__n", "__exact", "__near")
+    made = df.join(exact, F.col(low) == F.col("__exact"), "left").join(rough, F.col(near) == F.col("__near"), "left")
+    return made.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_exact", "in_near")}).drop("__exact", "__near")
+
+
+def holdout_flags(df: DataFrame, holdout: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df (with text) and in_exact, in_near: whether its text, or its near signature, is in the holdout."""
+    made = df.withColumns({"__e": digest(F.lower("text")), "__n": digest(X.near_signature(F.col("text")))})
+    return _held_out(made, holdout, "__e", "__n", most).drop("__e", "__n")
 
 
 def conflicting(df: DataFrame, key: Column, label: str = "label") -> DataFrame:
@@ -66,19 +73,76 @@ def dedupe_cascade(df: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], re
     return df
 
 
-def curate(rows: DataFrame, holdout: DataFrame, min_length: int = 8, max_length: int = 500) -> DataFrame:
-    """ord, label, language and reason of every row (ord, text, label, language); a kept row has no reason."""
-    flagged = holdout_flags(rows, holdout)
-    flagged = conflicting(flagged, F.lower("text"))
-    reason = first_reason(
-        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty"),
-        X.junk_reason(F.col("text"), F.col("language"), min_length, max_length),
-        F.when(F.col("conflict"), "cross-label-conflict"),
-        F.when(F.col("in_exact"), "holdout-exact"),
-        F.when(F.col("in_near"), "holdout-near"),
-    )
-    keyed = flagged.select("ord", "label", "language", reason.alias("reason"), digest(F.col("text")).alias("exact"), digest(X.near_signature(F.col("text"))).alias("near"))
-    return dedupe_cascade(keyed, [("duplicate", ["label", "exact"]), ("near-duplicate", ["label", "near"])]).drop("exact", "near")
+def _prepared(rows: DataFrame, labels: Sequence[str] | None, keep: float) -> DataFrame:
+    """ord, label, source, language and text of every row in normal form, its early reason, and placeholders filled where there is none."""
+    keys = [c for c in ("predicted_label", "predicted_confidence", "agreement", "model_version") if c in rows.columns]
+    made = rows.select("ord", "label", "source", "language", *([F.col("text").alias("raw")] if keys else []), X.normalize(F.col("text")).alias("text"), *keys)
+    known = F.col("label").isin(*labels) if labels is not None else F.col("label").isNotNull()
+    early = [F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty"), F.when(~F.coalesce(known, F.lit(False)), "unknown-label")]
+    if keys:
+        early.append(assessment_reason(labels, keep, "raw"))
+    early.append(F.when(X.placeholder_only(F.col("text")), "placeholder-only"))
+    made = made.withColumn("early", first_reason(*early)).drop(*keys, "raw")
+    made = made.withColumn("language", F.when(F.col("early").isNotNull() | F.coalesce(F.col("language").isin(*X.LANGUAGES), F.lit(False)), F.col("language")).otherwise(X.detect_language(F.col("text"))))
+    made = made.withColumn("rehydrated", F.col("early").isNull() & F.coalesce(F.col("text").rlike(X.PLACEHOLDER), F.lit(False)))
+    return made.withColumn("text", F.when(F.col("rehydrated"), X.collapse(X.rehydrate(F.when(F.col("rehydrated"), F.col("text")), F.col("language")))).otherwise(F.col("text")))
+
+
+def curate(rows: DataFrame, holdout: DataFrame, labels: Sequence[str] | None = None, languages: Sequence[str] = X.LANGUAGES, min_length: int = 8, max_length: int = 500, keep: float = 0.5, cap: int = 500, margins: DataFrame | None = None) -> DataFrame:
+    """ord, label, source, language, rehydrated and reason of every row (ord, text, label, source, language, and an assessment if there is one); a kept row has no reason.
+
+    The first check that fails gives the one reason, in this order: empty, unknown-label, invalid-assessment, remote-disagreement-downsample and placeholder-only, of the text in normal form;
+    then an unsupported language is detected and placeholders are filled, and of the text so made: the junk reasons, language (not among ``languages``), cross-label-conflict,
+    holdout-exact, holdout-near, duplicate, near-duplicate, template-duplicate (each kept row counts as the first of its keys), source-cap (``cap`` rows of a source, label and language, 0 for all) and
+    label-noise or gray-zone-drop, where ``margins`` (ord, label, margin) are given. Windows and joins shuffle digests of the texts; ``curated_rows`` adds the texts.
+    """
+    if bad := sorted(set(languages) - set(X.LANGUAGES)):
+        raise ValueError(f"unknown languages: {bad}")
+    made = _prepared(rows, labels, keep)
+    text = F.col("text")
+    keyed = made.select(
+        "ord", "label", "source", "language", "rehydrated",
+        first_reason(F.col("early"), F.lit(None)).alias("early"),
+        first_reason(X.junk_reason(text, F.col("language"), min_length, max_length), F.when(~F.coalesce(F.col("language").isin(*languages), F.lit(False)), "language")).alias("junk"),
+        digest(F.lower("text")).alias("low"), digest(text).alias("exact"), digest(X.near_signature(text)).alias("near"), digest(F.nullif(X.template_signature(text), F.lit(""))).alias("template"),
+        F.unhex(F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("")) for c in ("source", "label", "language", "text"))), 256)).alias("cap"),
+    )
+    flagged = _held_out(keyed, holdout.select(X.normalize(F.col("text")).alias("text")), "low", "near")
+    # rows that went before have no say in conflicts
+    w = Window.partitionBy("__open", "low")
+    flagged = flagged.withColumn("__open", F.when(F.col("early").isNull(), F.lit(-1).cast("long")).otherwise(F.col("ord").cast("long"))).withColumn("conflict", F.min("label").over(w) != F.max("label").over(w))
+    reason = first_reason(F.col("early"), F.col("junk"), F.when(F.col("conflict"), "cross-label-conflict"), F.when(F.col("in_exact"), "holdout-exact"), F.when(F.col("in_near"), "holdout-near"))
+    open_rows = flagged.select("ord", "label", "source", "language", "rehydrated", reason.alias("reason"), "exact", "near", "template", "cap")
+    done = dedupe_cascade(open_rows, [("duplicate", ["label", "exact"]), ("near-duplicate", ["label", "near"]), ("template-duplicate", ["label", "template"])])
+    if cap > 0:
+        done = capped(done, cap, "cap")
+    done = done.drop("exact", "near", "template", "cap")
+    if margins is not None:
+        bands = embedding.noise_bands(margins.join(done.where("reason is null").select("ord"), "ord", "left_semi"), key="ord").select("ord", "band")
+        done = done.join(bands, "ord", "left").withColumn("reason", F.coalesce("reason", "band")).drop("band")
+    return done
+
+
+def curated_rows(rows: DataFrame, decisions: DataFrame, labels: Sequence[str] | None = None, keep: float = 0.5) -> DataFrame:
+    """What ``curate`` decided, with the text of each row as it was decided on, and its source label where there is one."""
+    extra = [c for c in ("source_label",) if c in rows.columns]
+    made = _prepared(rows, labels, keep).select("ord", "text")
+    if extra:
+        made = made.join(rows.select("ord", *extra), "ord")
+    return decisions.join(made, "ord")
+
+
+def capped(df: DataFrame, most: int, key: str) -> DataFrame:
+    """Rows without a reason beyond the first ``most`` of their source, label and language, in order of key, get the reason source-cap."""
+    open_ = F.col("reason").isNull()
+    w = Window.partitionBy("__open", "source", "label", "language").orderBy(key, "ord")
+    made = df.withColumn("__open", F.when(open_, F.lit(-1).cast("long")).otherwise(F.col("ord").cast("long")))
+    return made.withColumn("reason", F.when(open_ & (F.row_number().over(w) > most), "source-cap").otherwise(F.col("reason"))).drop("__open")
+
+
+def rejection_counts(curated: DataFrame) -> DataFrame:
+    """source, reason and n; the reason of a kept row is kept."""
+    return curated.groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], most: int | Column) -> DataFrame:
@@ -94,7 +158,10 @@ def source_cap(df: DataFrame, most: int) -> DataFrame:
     return top_per_group(df.withColumn("digest", key), ["source", "label", "language"], [F.col("digest"), F.col("ord")], most)
 
 
-def supplement_cap(df: DataFrame, most: int) -> DataFrame:
+def supplement_cap(df: DataFrame, most: int, labels: Sequence[str] | None = None) -> DataFrame:
+    """At most so many rows of each label, of the labels that are asked for."""
+    if labels is not None:
+        df = df.where(F.col("label").isin(*labels))
     return top_per_group(df.withColumn("digest", F.sha2(F.concat_ws("\x1f", "label", "text"), 256)), ["label"], [F.col("digest"), F.col("ord")], most)
 
 
@@ -139,61 +206,26 @@ def shuffled(df: DataFrame, seed: str = "7") -> DataFrame:
     return df.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col("ord").cast("string")), 256))
 
 
-def _overlaps(a: list[str], b: list[str], width: int = 3, columns: int = 8192):
-    """Distinct shingles of each text of a and of b, and how many each two share: products of 0/1 matrices, some shingles at a time."""
-    import numpy as np
-
-    texts = [*a, *b]
-    sets = [sorted({t[i : i + width] for i in range(len(t) - width + 1)}) for t in texts]
-    number: dict[str, int] = {}
-    at = np.array([number.setdefault(g, len(number)) for s in sets for g in s], np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(s) for s in sets])
-    shared = np.zeros((len(a), len(b)), np.float32)
-    for low in range(0, len(number), columns):
-        some = (at >= low) & (at < low + columns)
-        m = np.zeros((len(texts), min(columns, len(number) - low)), np.float32)
-        m[row[some], at[some] - low] = 1
-        shared += m[: len(a)] @ m[len(a) :].T
-    n = np.array([len(s) for s in sets])
-    return n[: len(a)], n[len(a) :], shared
-
-
-def similar_pairs(df: DataFrame, least: float = 0.92, min_length: int = 12, block: int = 1024) -> DataFrame:
-    """(a, b, dice) of rows (ord, label, text) of one label with one canonical text, or of three-letter shingles that overlap enough.
+def similar_pairs(df: DataFrame, least: float = 0.92, min_length: int = 12) -> DataFrame:
+    """(a, b, dice) of rows (ord, label, text) of one label that are alike: each row with the first of its canonical text, at 1, and first rows whose three-letter shingles overlap enough.
 
-    Exact. Sets that overlap so differ in size by (2 - least) / least at most, so rows are cut into bands of sizes by that factor, bands
-    into blocks, and only blocks of one band or of neighbours are compared.
+    Exact, and without all pairs of copies. Sets that overlap so have at least ``least / (2 - least)`` of either in common, so they share one of the shingles that are rarest in each, as many as that
+    share leaves out, and one: only such pairs are compared.
     """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
-    made = df.select("ord", "label", X.canonical(F.col("text")).alias("c")).where("c <> '' and label is not null")
-    keyed = made.withColumn("k", digest(F.col("c")))
-    same = keyed.select("label", "k", F.col("ord").alias("a")).join(keyed.select("label", "k", F.col("ord").alias("b")), ["label", "k"]).where("a < b").select("a", "b", F.lit(1.0).alias("dice"))
-    step = math.log((2 - least) / least)
-    long = made.where(F.length("c") >= min_length).withColumn("band", F.floor(F.log(F.size(X.shingles(F.col("c"))).cast("double")) / step).cast("int"))
-    size = long.groupBy("label", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = long.join(size, ["label", "band"]).withColumn("chunk", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
-    wide = size.select("label", F.col("band").alias("band2"), F.col("blocks").alias("blocks2"))
-    left = placed.join(wide, "label").where("band2 = band or band2 = band + 1").withColumn("chunk2", F.explode(F.expr("sequence(0, blocks2 - 1)"))).where("band2 > band or chunk2 >= chunk")
-    right = placed.select("ord", "label", "c", F.col("band").alias("band2"), F.col("chunk").alias("chunk2")).join(size.select("label", "band", "blocks"), "label").where("band2 = band or band2 = band + 1").withColumn("chunk", F.explode(F.expr("sequence(0, blocks - 1)"))).where("band2 > band or chunk2 >= chunk")
-    keys = ["label", "band", "chunk", "band2", "chunk2"]
-
-    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "dice": pd.Series(dtype=float)})
-        nx, ny, shared = _overlaps(list(x.c), list(y.c2))
-        value = 2 * shared.astype(float) / (nx[:, None] + ny[None, :])
-        i, j = np.nonzero(value >= least)
-        a, b, v = x.ord.to_numpy()[i], y.ord2.to_numpy()[j], value[i, j]
-        keep = (x.c.to_numpy()[i] != y.c2.to_numpy()[j]) & ((a < b) if key[1:3] == key[3:5] else (a != b))
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "dice": v[keep]})
-
-    other = right.select(F.col("ord").alias("ord2"), F.col("c").alias("c2"), *(F.col(k).alias(f"{k}_") for k in keys))
-    near = left.select("ord", "c", *keys).groupBy(*keys).cogroup(other.groupBy(*(f"{k}_" for k in keys))).applyInPandas(compare, "a long, b long, dice double")
-    return same.unionByName(near)
+    made = df.select("ord", "label", X.canonical(F.col("text")).alias("c")).where("c <> '' and label is not null").withColumn("k", digest(F.col("c")))
+    first = made.groupBy("label", "k").agg(F.min("ord").alias("a"), F.first("c").alias("c"))
+    same = made.join(first.select("label", "k", "a"), ["label", "k"]).where("ord <> a").select("a", F.col("ord").alias("b"), F.lit(1.0).alias("dice"))
+    long = first.where(F.length("c") >= min_length).select("label", "a", X.shingles(F.col("c")).alias("s")).withColumn("n", F.size("s"))
+    grams = long.select("label", "a", "n", F.explode("s").alias("g"))
+    share = least / (2 - least)
+    rare = grams.join(grams.groupBy("label", "g").agg(F.count("*").alias("f")), ["label", "g"])
+    prefix = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    keys = rare.withColumn("r", F.row_number().over(Window.partitionBy("label", "a").orderBy("f", "g"))).where(F.col("r") <= prefix).select("label", "g", "a", "n")
+    x, y = (keys.select("label", "g", F.col("a").alias(v), F.col("n").alias(f"n_{v}")) for v in ("a", "b"))
+    pairs = x.join(y, ["label", "g"]).where(f"a < b and n_a >= {share} * n_b - 1e-9 and n_b >= {share} * n_a - 1e-9").select("label", "a", "b").distinct()
+    sets = long.select("label", "a", "s")
+    near = pairs.join(sets.withColumnRenamed("s", "x"), ["label", "a"]).join(sets.select("label", F.col("a").alias("b"), F.col("s").alias("y")), ["label", "b"])
+    return same.unionByName(near.select("a", "b", X.dice(F.col("x"), F.col("y")).alias("dice")).where(F.col("dice") >= least))
 
 
 def coverage(df: DataFrame, labels: DataFrame, languages: Sequence[str]) -> DataFrame:
@@ -232,6 +264,23 @@ def exported(df: DataFrame, labels: Sequence[str], min_length: int = 4, max_leng
     return dedupe_cascade(made, [("duplicate", ["label", "__t"])]).drop("__t")
 
 
+#: What an export has of a sample: no assessment, no group, no identity.
+EXPORTED = ("text", "label", "locale", "text_language", "model_version", "source", "schema_version", "created_at")
+
+
+def export_columns(df: DataFrame) -> DataFrame:
+    """The columns of an export, those that aren't there as null."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EXPORTED))
+
+
+def relabelled_by(df: DataFrame, cases: Sequence[tuple[Sequence[str], Sequence[str], Sequence[str], str]]) -> DataFrame:
+    """Rows get the label of the first case (labels, markers, vetoes, new label) that applies: one of the labels, a marker in the text, and no veto."""
+    low = F.lower("text")
+    has = lambda words: low.rlike("|".join(rf"\Q{w}\E" for w in words)) if words else F.lit(False)
+    moved = first_reason(*(F.when(F.col("label").isin(*labels) & has(markers) & ~has(vetoes), to) for labels, markers, vetoes, to in cases))
+    return df.withColumn("label", F.coalesce(moved, F.col("label")))
+
+
 def relabelled(df: DataFrame, markers: Sequence[str], from_labels: Sequence[str], to: str, veto: Sequence[str] = ()) -> DataFrame:
     """Rows of some labels whose text has a marker, and none of the vetoes, get another label, and lose their assessment."""
     has = lambda words: F.lower("text").rlike("|".join(rf"\Q{w}\E" for w in words)) if words else F.lit(False)

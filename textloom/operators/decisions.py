@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textloom.functions import text as X
 
@@ -70,6 +70,57 @@ def first_rule(messages: DataFrame, rules: Sequence[dict]) -> DataFrame:
     return messages.withColumn("__r", chosen).withColumns({"rule_id": F.col("__r.rule_id"), "action": F.col("__r.action")}).drop("__r")
 
 
+RULE = "id string, enabled boolean, priority int, sender struct<kind:string, pattern:string>, text struct<kind:string, pattern:string>, action string, createdAt long"
+#: Rules up to so many are sent to all tasks as one row.
+MOST_RULES = 10_000
+
+
+def match_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``first_rule`` with the rules as a table (RULE): those of a user are one row of all tasks, and the first in order that matches is taken; no rows are multiplied."""
+    wanted = rules.where("enabled and (sender is not null or text is not null)").select("id", "priority", "sender", "text", "action", "createdAt").limit(MOST_RULES + 1).collect()
+    if len(wanted) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    # patterns that aren't valid match nothing, so a rule with one never does
+    sound = [r for r in sorted(wanted, key=lambda r: (-r.priority, r.createdAt)) if all(m is None or m.kind != "regex" or valid_pattern(m.pattern) for m in (r.sender, r.text))]
+    if not sound:
+        return messages.withColumns({"rule_id": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
+    table = messages.sparkSession.createDataFrame([(r.id, r.sender, r.text, r.action) for r in sound], "id string, s struct<kind:string, pattern:string>, t struct<kind:string, pattern:string>, action string")
+    one = table.coalesce(1).agg(F.collect_list(F.struct("id", "s", "t", "action")).alias("__rules"))
+
+    def hit(c: Column, m: Column, plain: Column | None) -> Column:
+        low, p = F.lower(c), F.lower(m["pattern"])
+        bare = F.translate(F.trim(p), "- ", "")
+        test = lambda x, q: F.when(m["kind"] == "exact", x == q).when(m["kind"] == "prefix", F.startswith(x, q)).otherwise(F.contains(x, q))
+        some = test(low, p) if plain is None else test(low, p) | test(F.lower(plain), bare)
+        return m.isNull() | F.when(m["kind"] == "regex", F.rlike(c, F.concat(F.lit("(?iu)"), m["pattern"]))).otherwise((p != "") & some)
+
+    sender, text = F.coalesce(F.col("sender"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    found = F.get(F.filter("__rules", lambda r: hit(sender, r["s"], X.sender(sender)) & hit(text, r["t"], None)), F.lit(0))
+    made = messages.crossJoin(F.broadcast(one)).withColumn("__r", found)
+    return made.withColumns({"rule_id": F.col("__r.id"), "action": F.col("__r.action")}).drop("__r", "__rules")
+
+
+def read_keyword_rules(spark: SparkSession, path: str) -> tuple[tuple[str, tuple[str, ...], float], ...]:
+    """Rules for ``keyword_label`` from a JSON list of {label, keywords, confidence}, in their order; a label's rules may come several times, as rules that go first do."""
+    rows = spark.read.schema("label string, keywords array<string>, confidence double").option("multiLine", True).option("mode", "FAILFAST").json(path).limit(MOST_RULES).collect()
+    if any(r.label is None or not r.keywords or r.confidence is None for r in rows):
+        raise ValueError(f"invalid rule in {path}")
+    return tuple((r.label, tuple(w.lower() for w in r.keywords), r.confidence) for r in rows)
+
+
+def decided(messages: DataFrame, rules: Sequence[dict], classifier: Column | None = None, least: float = TABLE_AT, fallback: str = "transaction.other") -> DataFrame:
+    """messages with label, confidence, source and action: of the first rule that matches, else of the classifier (label, confidence, source; keywords, unless given).
+
+    A classifier that abstains passes through with no action, and one that isn't sure enough gives the fallback label.
+    """
+    made = first_rule(messages, rules).withColumn("__d", classifier if classifier is not None else keyword_label(F.col("text")))
+    ruled, abstains, weak = F.col("rule_id").isNotNull(), F.col("__d.label") == ABSTAIN, F.col("__d.confidence") < least
+    label = F.when(ruled, F.lit(None)).when(abstains, ABSTAIN).when(weak, fallback).otherwise(F.col("__d.label"))
+    source = F.when(ruled, "rule").when(abstains, F.col("__d.source")).when(weak, "fallback").otherwise(F.col("__d.source"))
+    action = F.when(ruled, F.col("action")).when(abstains | weak, "none").otherwise(route(F.col("__d.label"), base_action(F.col("__d.label")), F.col("__d.confidence"), least))
+    return made.withColumns({"label": label.cast("string"), "confidence": F.when(ruled, 1.0).otherwise(F.col("__d.confidence")), "source": source, "action": action}).drop("__d")
+
+
 def keyword_label(text: Column, rules: Sequence[tuple[str, Sequence[str], float]] = KEYWORDS, default: tuple[str, float] = DEFAULT) -> Column:
     """struct(label, confidence, source): of the first rule with a word in the text, else the default; under 0.65 a fallback of the rest."""
     low, label, sure = F.lower(F.coalesce(text, F.lit(""))), None, None
@@ -142,3 +193,15 @@ def label_from_text(text: Column, rules: Sequence[tuple[str, Sequence[str], Sequ
         hit = has(words) & ~has(veto)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return F.lit(None).cast("string") if out is None else out
+
+
+def label_from_file(file: Column, text: Column, files: dict[str, str], rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], advertising: dict[str, Sequence[tuple[str, Sequence[str], Sequence[str]]]] | None = None) -> Column:
+    """The label that a file's name stands for; in files of advertising, by rules of their own with the file's label as the rest; else by the text's rules. Null where nothing applies: such rows go."""
+    out = None
+    for name, label in files.items():
+        value = F.lit(label)
+        if advertising and name in advertising:
+            value = F.coalesce(label_from_text(text, advertising[name]), value)
+        out = F.when(file == name, value) if out is None else out.when(file == name, value)
+    rest = label_from_text(text, rules)
+    return rest if out is None else out.otherwise(rest)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +19,22 @@ def accuracy(df: DataFrame, *by: str) -> DataFrame:
     return made.withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 6))
 
 
+def weakest(df: DataFrame, by: str = "label", most: int = 12) -> DataFrame:
+    """The labels of least accuracy, ties by name."""
+    return accuracy(df, by).orderBy("accuracy", by).limit(most)
+
+
+def pooled(accuracies: DataFrame, *by: str) -> DataFrame:
+    """Accuracy over several sets: all that is correct over all there is, not the mean of the sets' shares."""
+    made = accuracies.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"))
+    return made.withColumn("accuracy", F.round(F.col("n_correct") / F.greatest("n", F.lit(1)), 6))
+
+
+def tag_accuracy(df: DataFrame) -> DataFrame:
+    """Of each true tag: n, n_correct and accuracy of predicted."""
+    return accuracy(df.withColumnRenamed("tag", "label"), "label").withColumnRenamed("label", "tag")
+
+
 def confusions(df: DataFrame, most: int = 10) -> DataFrame:
     """The most frequent wrong pairs."""
     return df.where(F.col("label") != F.col("predicted")).groupBy("label", "predicted").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "predicted").limit(most)
@@ -80,6 +98,12 @@ def histogram_quantiles(hist: DataFrame, *by: str, shares: Sequence[float] = (0.
     return made.groupBy(*by).agg(F.max("total").alias("n"), *wanted, F.max("bound").alias("highest"))
 
 
+def checked(hist: DataFrame) -> DataFrame:
+    """A histogram as it is, unless a bucket is unknown, a count negative, or something took a second or more: then the read fails."""
+    bad = F.when(~F.col("bound").isin(*BOUNDS, OVER), "unknown bucket").when(F.col("n") < 0, "negative count").when((F.col("bound") == OVER) & (F.col("n") > 0), "a query took a second or more")
+    return hist.withColumn("n", F.when(bad.isNotNull(), F.raise_error(bad).cast("long")).otherwise(F.col("n")))
+
+
 def sample_percentile(df: DataFrame, share: float, *by: str, value: str = "value") -> DataFrame:
     """The value at place ceil((n - 1) * share), from 0, in order: found by rank, without lists."""
     w = Window.partitionBy(*by)
@@ -103,6 +127,85 @@ def release_aggregate(events: DataFrame, by: str = "release") -> DataFrame:
     ).withColumn("drift", F.col("latest_footprint") - F.col("first_footprint"))
 
 
+def release_histograms(events: DataFrame, by: str = "release", ms: str = "latency_ms") -> DataFrame:
+    """A row for each count of a release: kind (cold, warm, fallback or error), its bucket or code as name, and n."""
+    kinds = F.array(
+        F.when(F.col(ms).isNotNull(), F.struct(F.when(F.col("is_cold"), "cold").otherwise("warm").alias("kind"), bucket(F.col(ms)).cast("string").alias("name"))),
+        F.when(F.col("fallback").isNotNull(), F.struct(F.lit("fallback").alias("kind"), F.col("fallback").cast("string").alias("name"))),
+        F.when(F.col("error").isNotNull(), F.struct(F.lit("error").alias("kind"), F.col("error").cast("string").alias("name"))),
+    )
+    made = events.select(by, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return made.groupBy(by, F.col("k.kind").alias("kind"), F.col("k.name").alias("name")).agg(F.count("*").alias("n"))
+
+
+def one_release(releases: DataFrame, variant: str = "transformer", sequence: int | None = None) -> DataFrame:
+    """The release of the variant, and of that sequence if there is one; fails unless it is exactly one."""
+    made = releases.where(F.col("variant") == variant)
+    if sequence is not None:
+        made = made.where(F.col("sequence") == sequence)
+    if (n := len(made.select(F.lit(1)).take(2))) != 1:
+        raise ValueError("no matching release" if n == 0 else "more than one matching release")
+    return made
+
+
+#: What a device must have shown before its figures count, and what it must have passed, on the processor alone or with an accelerator.
+DEVICE_FIELDS = tuple("cold_p95 cold_p99 cold_max warm_p95 warm_p99 contention_p99 jetsam_count memory_drift memory_drift_share cold_runs warm_queries compute_units trace_count".split())
+STRESS = {True: ("cpu_stress_passed",), False: ("gpu_contention_passed", "low_power_passed", "memory_pressure_passed")}
+LEAST_COLD, LEAST_WARM = 30, 10_000
+
+
+def device_metrics(benchmarks: DataFrame, extensions: DataFrame, key: str = "device") -> DataFrame:
+    """A row per device of both tables with derived figures, and problems: fields without a value, too few runs, units that differ, stress not passed.
+
+    benchmarks: key, compute_units, accelerated, costliest, cpu_cost, baseline, average and peak bytes, and increases where they were measured, else the difference to the baseline, 0 at least.
+    extensions: key, DEVICE_FIELDS and the stress flags.
+    """
+    e = extensions.withColumnRenamed("compute_units", "extension_units")
+    made = benchmarks.join(e, key)
+    cpu = F.col("extension_units") == "cpuOnly"
+    fields = ["extension_units" if f == "compute_units" else f for f in DEVICE_FIELDS]
+    passed = lambda names: reduce(and_, (F.coalesce(F.col(n), F.lit(False)) for n in names))
+    accelerated = F.coalesce(F.col("accelerated"), F.lit(False)) & (F.col("trace_count") > 0)
+    on_cpu = (F.col("compute_units") == "cpuOnly") & (F.col("costliest") == "cpu") & (F.col("cpu_cost") > 0)
+    rise = lambda name, of: F.coalesce(F.col(name), F.greatest(F.lit(0), F.coalesce(of, F.lit(0)) - F.coalesce("baseline", F.lit(0))))
+    stress = F.when(cpu, passed(STRESS[True])).otherwise(passed(STRESS[False]))
+    problems = [F.when(F.col(f).isNull(), F.lit("missing " + ("compute_units" if f == "extension_units" else f))) for f in fields]
+    problems += [F.when(F.col("cold_runs") < LEAST_COLD, F.lit("cold runs")), F.when(F.col("warm_queries") < LEAST_WARM, F.lit("warm queries")), F.when(~F.col("compute_units").eqNullSafe(F.col("extension_units")), F.lit("compute units differ")), F.when(~F.coalesce(stress, F.lit(False)), F.lit("stress"))]
+    return made.withColumns(
+        {
+            "runtime_verified": F.coalesce(accelerated, F.lit(False)) | F.coalesce(on_cpu, F.lit(False)),
+            "average_increase": rise("average_increase", F.col("average")),
+            "peak_increase": rise("peak_increase", F.col("peak")),
+            "stress_passed": F.coalesce(stress, F.lit(False)),
+            "problems": F.filter(F.array(*problems), lambda p: p.isNotNull()),
+        }
+    )
+
+
+def with_device_metrics(reports: DataFrame, metrics: DataFrame, key: str = "profile") -> DataFrame:
+    """Reports with the metrics of their device in place of any that they had; metrics with problems fail."""
+    sound = metrics.withColumn(key, F.when(F.size("problems") > 0, F.raise_error(F.concat_ws(", ", "problems")).cast(metrics.schema[key].dataType)).otherwise(F.col(key))).drop("problems")
+    taken = [c for c in sound.columns if c != key]
+    return reports.drop(*taken).join(sound, key, "left")
+
+
+def detector_gate(df: DataFrame, least_f1: float = 0.9, most_clean: float = 0.02) -> DataFrame:
+    """df (f1, clean_fpr, regression_fpr) with passed: the worse of both shares of false alarms counts; without a value it fails."""
+    worst = F.greatest("clean_fpr", "regression_fpr")
+    return df.withColumn("passed", F.coalesce((F.col("f1") >= least_f1) & (worst <= most_clean) & F.col("clean_fpr").isNotNull() & F.col("regression_fpr").isNotNull(), F.lit(False)))
+
+
+def differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(side, key): missing, what is expected and not found, and unexpected, what is found and not expected."""
+    a, b = expected.select(key).distinct(), found.select(key).distinct()
+    return a.exceptAll(b).select(F.lit("missing").alias("side"), key).union(b.exceptAll(a).select(F.lit("unexpected").alias("side"), key))
+
+
+def is_subset(some: Column, every: Column) -> Column:
+    """Whether all of one array are in the other."""
+    return F.size(F.array_except(some, every)) == 0
+
+
 def gates(checks: Sequence[tuple[str, Column]]) -> Column:
     """Names of the checks that fail; one without a value fails."""
     return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks)), lambda x: x.isNotNull())

@@ -114,3 +114,69 @@ def word_pieces(spark, vocabulary: dict[str, int], length: int = 128, lower: boo
         return pd.DataFrame(rows, columns=fields)
 
     return run
+
+
+def merged(pieces: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Ids after all merges: each time the pair of least rank, wherever it is, from the left."""
+    while len(pieces) > 1:
+        known = [(merges[p], p) for p in zip(pieces[:-1], pieces[1:], strict=True) if p in merges]
+        if not known:
+            break
+        (_, to), (a, b) = min(known)
+        out, i = [], 0
+        while i < len(pieces):
+            if i + 1 < len(pieces) and pieces[i] == a and pieces[i + 1] == b:
+                out.append(to)
+                i += 2
+            else:
+                out.append(pieces[i])
+                i += 1
+        pieces = out
+    return pieces
+
+
+def byte_pairs(spark, vocabulary: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 128, begin: str = "<s>", end: str = "</s>", pad: str = "<pad>", unknown: str = "<unk>", byte_fallback: bool = True):
+    """Arrow function text -> struct(ids, mask, word, start, end) by byte-pair encoding of words that begin with a mark for the space before them.
+
+    Ids lie between begin and end, are cut to ``length`` and filled with pad. A character that has no id is spelled in bytes (<0x41>), where all of its bytes have one, else unknown. word is the number
+    of each id's word, start and end its place in the text; -1 where there is none.
+    """
+    ranks = {(vocabulary[a], vocabulary[b]): (k, vocabulary[a + b]) for k, (a, b) in reversed(list(enumerate(merges))) if a in vocabulary and b in vocabulary and a + b in vocabulary}
+    sent = spark.sparkContext.broadcast((vocabulary, ranks))  # a tokenizer's own files, of some MB
+    fields = ("ids", "mask", "word", "start", "end")
+
+    @F.pandas_udf(T.StructType([T.StructField(f, T.ArrayType(T.IntegerType())) for f in fields]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        (v, ranks), rows, seen = sent.value, [], {}
+
+        def ids_of(word: str) -> list[int]:
+            out = []
+            for c in word:
+                if c in v:
+                    out.append(v[c])
+                    continue
+                spelled = [v.get(f"<0x{b:02X}>") for b in c.encode()] if byte_fallback else [None]
+                out += [v[unknown]] if None in spelled else spelled
+            return merged(out, ranks)
+
+        for t in texts:
+            rows_of = [(v[begin], 1, -1, -1, -1)]
+            for k, m in enumerate(re.finditer(r" [^ ]*|^[^ ]+", t or "")):
+                word = "▁" + m[0].removeprefix(" ")
+                if word not in seen:
+                    seen[word] = ids_of(word)
+                rows_of += [(i, 1, k, m.start() + m[0].startswith(" "), m.end()) for i in seen[word]]
+                if len(rows_of) >= length:
+                    break
+            rows_of = rows_of[: length - 1] + [(v[end], 1, -1, -1, -1)]
+            rows_of += [(v[pad], 0, -1, -1, -1)] * (length - len(rows_of))
+            rows.append([list(c) for c in zip(*rows_of, strict=True)])
+        return pd.DataFrame(rows, columns=fields)
+
+    return run
+
+
+def span_tags(pieces: Column, spans: Column, outside: str = "O") -> Column:
+    """A tag for each piece (start, end): of the first span (token, start, end) that it overlaps, half open; pieces without a place have none."""
+    first = lambda p: F.get(F.filter(spans, lambda s: (p["start"] < s["end"]) & (p["end"] > s["start"])), F.lit(0))
+    return F.transform(pieces, lambda p: F.when(p["start"] < 0, F.lit(None).cast("string")).otherwise(F.coalesce(first(p)["token"], F.lit(outside))))

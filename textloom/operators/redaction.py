@@ -52,19 +52,32 @@ def _near(pattern: re.Pattern, text: str, start: int, end: int, reach: int = 24)
     return pattern.search(text, max(0, start - reach), min(len(text), end + reach)) is not None
 
 
+#: What a text must have for a pattern to match: most have none of it, and a look for plain words is far quicker than a pattern.
+_SOME_DIGIT, _LONG_NUMBER = re.compile("[0-9]"), re.compile(r"[0-9+(][0-9() .-]{5}")
+_NEEDED = {"URL": ("http", "www."), "EMAIL": ("@",), "PASSPORT": ("passport",), "ADDRESS": ("address", "deliver", "地址"), "CODE": ("code", "otp", "pin", "验证码", "認証コード", "kode"), "ORDER_ID": ("order", "tracking", "订单", "注文番号"), "PLATE": ("plate", "vehicle", "车牌", "ナンバー")}
+
+
 def spans_of(text: str, more: Callable[[str], list[tuple[str, int, int]]] | None = None) -> list[tuple[str, int, int]]:
     """(token, start, end) of what to redact, as found: patterns, and what a detector adds."""
-    out = [(token, m.start(group), m.end(group)) for token, pattern, group in _FIND for m in pattern.finditer(text)]
-    for m in _DIGITS.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if 16 <= len(digits) <= 19 and (passes_luhn(digits) or _near(_CARD_WORD, text, *m.span())):
-            out.append(("CARD", *m.span()))
-    for m in _PHONE.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if 7 <= len(digits) <= 15 and (m[0].startswith("+") or re.fullmatch(r"1[3-9][0-9]{9}", digits) or _near(_PHONE_WORD, text, *m.span())):
-            out.append(("PHONE", *m.span()))
-    out += [("PLATE", *m.span()) for p in (_PLATE_CN, _PLATE_JP) for m in p.finditer(text)]
-    for m in _PLATE_WORD.finditer(text):
+    # letters like the Kelvin sign match k without regard to case, and lower case makes them one too
+    low = text.lower()
+    digit = _SOME_DIGIT.search(text) is not None
+    number = digit and _LONG_NUMBER.search(text) is not None
+    has = {name: any(w in low for w in some) for name, some in _NEEDED.items()}
+    wanted = (has["URL"], has["EMAIL"], number, digit and has["PASSPORT"], has["ADDRESS"], digit and has["CODE"], digit and has["ORDER_ID"], digit)
+    out = [(token, m.start(group), m.end(group)) for (token, pattern, group), on in zip(_FIND, wanted, strict=True) if on for m in pattern.finditer(text)]
+    if number:
+        for m in _DIGITS.finditer(text):
+            digits = re.sub(r"\D", "", m[0])
+            if 16 <= len(digits) <= 19 and (passes_luhn(digits) or _near(_CARD_WORD, text, *m.span())):
+                out.append(("CARD", *m.span()))
+        for m in _PHONE.finditer(text):
+            digits = re.sub(r"\D", "", m[0])
+            if 7 <= len(digits) <= 15 and (m[0].startswith("+") or re.fullmatch(r"1[3-9][0-9]{9}", digits) or _near(_PHONE_WORD, text, *m.span())):
+                out.append(("PHONE", *m.span()))
+    if not text.isascii():
+        out += [("PLATE", *m.span()) for p in (_PLATE_CN, _PLATE_JP) for m in p.finditer(text)]
+    for m in _PLATE_WORD.finditer(text) if has["PLATE"] else ():
         clause = re.split(r"[.;!?。；！？\n]", text[: m.end()])[-1]
         if re.search(r"[0-9]", m[1]) and not _NOT_PLATE.search(clause):
             out.append(("PLATE", *m.span(1)))

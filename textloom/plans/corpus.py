@@ -34,27 +34,96 @@ _JUNK = rf"""CASE WHEN length(text) < 8 THEN 'too-short' WHEN length(text) > {MA
     WHEN language IN ('en', 'es', 'pt', 'fr', 'de', 'id', 'vi', 'ru') AND len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_'']+')) < 2 THEN 'too-few-words'
     WHEN regexp_matches(text, '\{{\{{[A-Z_]+\}}\}}') AND NOT regexp_matches(regexp_replace(text, '\{{\{{[A-Z_]+\}}\}}', '', 'g'), '[\p{{L}}\p{{N}}]') THEN 'placeholder-only' END"""
 
-_CURATED = rf"""
-WITH {_ROWS}, h AS (SELECT lower(text) AS e, {_near('text')} AS n FROM benchmark WHERE text IS NOT NULL),
-f AS (SELECT ord, label, language, text, {_near('text')} AS near, coalesce(
-        CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' END, {_JUNK},
-        CASE WHEN min(label) OVER (PARTITION BY lower(text)) <> max(label) OVER (PARTITION BY lower(text)) THEN 'cross-label-conflict' END,
-        CASE WHEN lower(text) IN (SELECT e FROM h) THEN 'holdout-exact' END, CASE WHEN {_near('text')} IN (SELECT n FROM h) THEN 'holdout-near' END) AS reason FROM r),
-a AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, label, text ORDER BY ord) > 1 THEN 'duplicate' ELSE reason END AS reason1 FROM f),
-b AS (SELECT *, CASE WHEN reason1 IS NULL AND row_number() OVER (PARTITION BY reason1 IS NULL, label, near ORDER BY ord) > 1 THEN 'near-duplicate' ELSE reason1 END AS reason2 FROM a)
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _normal(t: str) -> str:
+    return rf"trim(regexp_replace(nfc_normalize({t}), '[\s\p{{Z}}\x{{0B}}\x{{85}}]+', ' ', 'g'))"
+
+
+def _detected(table_: str, t: str = "text") -> str:
+    """CTEs that end in d: the rows of the table with detected."""
+    marks = {code: " + ".join(["0", *(f"CASE WHEN contains(low, '{a}') THEN 2 ELSE 0 END" for a in accents)]) for code, (_, accents) in X.MARKERS.items()}
+    scores = ", ".join(f"len(list_intersect(ws, {_list(stops)})) + {marks[code]} AS s_{code}" for code, (stops, _) in X.MARKERS.items())
+    best = f"greatest({', '.join('s_' + c for c in X.MARKERS)})"
+    return rf"""w AS (SELECT *, lower({t}) AS low, list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_'']+')) AS ws FROM {table_}),
+s AS (SELECT *, {scores} FROM w),
+d AS (SELECT * EXCLUDE (low, ws, {', '.join('s_' + c for c in X.MARKERS)}), CASE WHEN {t} IS NULL THEN NULL {' '.join(f"WHEN regexp_matches({t}, '{p}') THEN '{c}'" for c, p in X.SCRIPTS)}
+    WHEN {best} < 2 THEN 'en' {' '.join(f"WHEN s_{c} = {best} THEN '{c}'" for c in X.MARKERS)} END AS detected FROM s)"""
+
+
+def _template(t: str) -> str:
+    """For texts whose compatible form is their own. Characters between words are doubled, so that two neighbours don't share one."""
+    w, n = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    made = f"lower({t})"
+    for pattern, to, every in (
+        (rf"https?://\S+|{w}[\p{{L}}\p{{N}}_.+-]*@{w}[\p{{L}}\p{{N}}_.-]*\.[a-z]{{2,}}", " dynamicurl ", ", 'g'"),
+        (r"^\s*(?:\[[^\]]{1,30}\]|【[^】]{1,30}】|official\s*:|公式\s*[:：])\s*", "", ""),
+        (rf"(?:reply|txt)\s+stop(?:{n}.*)?$|回复\s*[a-z]\s*退订.*$|配信停止.*$", "", ""),
+        (rf"({n})", r"\1\1", ", 'g'"),
+        (rf"(^|{n})[a-z]{{1,5}}--[a-z0-9]{{6,}}({n}|$)", r"\1 dynamicid \2", ", 'g'"),
+        (rf"(^|{n})[a-z]{{1,5}}_?[a-z0-9]{{6,}}({n}|$)", r"\1 dynamicid \2", ", 'g'"),
+        (r"\p{Nd}+", " dynamicnumber ", ", 'g'"),
+        (r"[^\p{L}\p{N}]+", "", ", 'g'"),
+    ):
+        made = f"regexp_replace({made}, '{pattern}', '{to}'{every})"
+    return made
+
+
+def _curated(rows_: str, labels: str, assessed: str = "NULL", cap: int = 500) -> str:
+    """The full order of checks over r (ord, text, label, language, source)."""
+    only = r"regexp_matches(text, '\{\{[A-Z_]+\}\}') AND NOT regexp_matches(regexp_replace(text, '\{\{[A-Z_]+\}\}', '', 'g'), '[\p{L}\p{N}]')"
+
+    def first(before: str, keys: str, name: str, more: str = "true") -> str:
+        return f"CASE WHEN {before} IS NULL AND {more} AND row_number() OVER (PARTITION BY {before} IS NULL, label, {keys} ORDER BY ord) > 1 THEN '{name}' ELSE {before} END"
+
+    return rf"""WITH {rows_}, h AS (SELECT lower({_normal('text')}) AS e, {_near(_normal('text'))} AS n FROM benchmark WHERE text IS NOT NULL),
+t AS (SELECT * EXCLUDE (text), text AS raw, {_normal('text')} AS text FROM r),
+e AS (SELECT *, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN label IS NULL OR label NOT IN ({labels}) THEN 'unknown-label' ELSE coalesce({assessed}, CASE WHEN {only} THEN 'placeholder-only' END) END AS early FROM t),
+{_detected('e')}, l AS (SELECT * REPLACE (CASE WHEN early IS NOT NULL OR coalesce(list_contains({_list(X.LANGUAGES)}, language), false) THEN language ELSE detected END AS language) FROM d),
+f AS (SELECT ord, label, source, language, text, {_near('text')} AS near, {_template('text')} AS template, coalesce(early, {_JUNK},
+        CASE WHEN min(label) OVER (PARTITION BY early IS NULL, lower(text)) <> max(label) OVER (PARTITION BY early IS NULL, lower(text)) THEN 'cross-label-conflict' END,
+        CASE WHEN lower(text) IN (SELECT e FROM h) THEN 'holdout-exact' END, CASE WHEN {_near('text')} IN (SELECT n FROM h) THEN 'holdout-near' END) AS reason0 FROM l),
+a AS (SELECT *, {first('reason0', 'text', 'duplicate')} AS reason1 FROM f), b AS (SELECT *, {first('reason1', 'near', 'near-duplicate')} AS reason2 FROM a),
+c AS (SELECT *, {first('reason2', 'template', 'template-duplicate', "template <> ''")} AS reason3 FROM b),
+z AS (SELECT *, CASE WHEN reason3 IS NULL AND row_number() OVER (PARTITION BY reason3 IS NULL, source, label, language ORDER BY sha256(coalesce(source, '') || chr(31) || label || chr(31) || coalesce(language, '') || chr(31) || text), ord) > {cap} THEN 'source-cap' ELSE reason3 END AS reason FROM c)
 """
 
 
-@query(_CURATED + "SELECT ord, label, language, reason2 AS reason FROM b")
+_DOCUMENTS = _curated(_ROWS, "'0', '1', 'none'")
+
+
+@query(_DOCUMENTS + "SELECT ord, label, language, reason FROM z")
 def curate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.curate(rows(spark, sf_dir), table(spark, sf_dir, "benchmark"), max_length=MAX_LENGTH)
+    return curation.curate(rows(spark, sf_dir), table(spark, sf_dir, "benchmark"), ["0", "1", "none"], max_length=MAX_LENGTH).select("ord", "label", "language", "reason")
 
 
-@query(_CURATED + "SELECT language, coalesce(reason2, 'kept') AS reason, count(*) AS n FROM b GROUP BY 1, 2")
+@query(_DOCUMENTS + "SELECT language, coalesce(reason, 'kept') AS reason, count(*) AS n FROM z GROUP BY 1, 2")
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate_documents(spark, sf_dir).groupBy("language", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(_DOCUMENTS + "SELECT source, coalesce(reason, 'kept') AS reason, count(*) AS n FROM z GROUP BY 1, 2")
+def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.rejection_counts(curation.curate(rows(spark, sf_dir), table(spark, sf_dir, "benchmark"), ["0", "1", "none"], max_length=MAX_LENGTH))
+
+
+_TURNS = """r AS (SELECT conv_id * 1000 + turn AS ord, CASE WHEN conv_id % 11 = 3 THEN '{{CODE}} - {{URL}}' ELSE text END AS text, role AS label, CASE WHEN conv_id % 5 = 0 THEN 'xx' ELSE 'en' END AS language, 's' || (conv_id % 3) AS source,
+    CASE WHEN turn % 2 = 0 THEN role ELSE 'assistant' END AS pl, (conv_id % 10) / 10 + 0.15 AS pc, (turn % 2 = 0 OR role = 'assistant')::INTEGER AS ag FROM conversations)"""
+_ASSESSED = """CASE WHEN pl NOT IN ('user', 'assistant') OR pc > 1 THEN 'invalid-assessment'
+    WHEN ag = 0 AND pc >= 0.8 AND ('0x' || substr(sha256(label || chr(31) || raw || chr(31) || 'v1'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 >= 0.5 THEN 'remote-disagreement-downsample' END"""
+
+
+@query(_curated(_TURNS, "'user', 'assistant'", _ASSESSED, 200) + "SELECT ord, label, language, reason FROM z")
+def curate_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id * 1000 + turn as ord", "case when conv_id % 11 = 3 then '{{CODE}} - {{URL}}' else text end as text", "role as label", "case when conv_id % 5 = 0 then 'xx' else 'en' end as language", "concat('s', conv_id % 3) as source",
+        "case when turn % 2 = 0 then role else 'assistant' end as predicted_label", "(conv_id % 10) / 10 + 0.15D as predicted_confidence", "cast(turn % 2 = 0 or role = 'assistant' as int) as agreement", "'v1' as model_version",
+    )
+    return curation.curate(made, table(spark, sf_dir, "benchmark"), ["user", "assistant"], max_length=MAX_LENGTH, cap=200).select("ord", "label", "language", "reason")
+
+
 @query(f"SELECT doc_id, {_near('text')} AS near FROM documents")
 def near_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.near_signature(F.col("text")).alias("near"))
@@ -65,23 +134,12 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize(F.col("text")), 256).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, sha256({_template('text')}) AS digest FROM documents")
 def template_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.template_signature(F.col("text")), 256).alias("digest"))
 
 
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-_SCORES = ", ".join(f"len(list_intersect(ws, {_list(stops)})) + {' + '.join(['0'] + [f'''CASE WHEN contains(low, '{a}') THEN 2 ELSE 0 END''' for a in accents])} AS s_{code}" for code, (stops, accents) in X.MARKERS.items())
-_BEST = f"greatest({', '.join('s_' + c for c in X.MARKERS)})"
-_DETECTED = rf"""
-WITH w AS (SELECT doc_id, lang, text, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']+')) AS ws FROM documents),
-s AS (SELECT doc_id, lang, text, {_SCORES} FROM w),
-d AS (SELECT doc_id, lang, CASE WHEN text IS NULL THEN NULL {' '.join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in X.SCRIPTS)}
-    WHEN {_BEST} < 2 THEN 'en' {' '.join(f"WHEN s_{c} = {_BEST} THEN '{c}'" for c in X.MARKERS)} END AS detected FROM s)
-"""
+_DETECTED = f"WITH {_detected('documents')}\n"
 
 
 @query(_DETECTED + "SELECT doc_id, detected FROM d")
@@ -130,7 +188,10 @@ def dedupe_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.top_per_group(made, ["label", "t"], [F.col("ord")], 1).select("ord")
 
 
-@query()
+@query(rf"""WITH {_ROWS}, k AS (SELECT *, {_near('text')} AS near, {_template('text')} AS template FROM r),
+a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label, text ORDER BY ord) > 1 THEN 'duplicate' END AS r1 FROM k),
+b AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY r1 IS NULL, label, near ORDER BY ord) > 1 THEN 'near-duplicate' ELSE r1 END AS r2 FROM a)
+SELECT ord, CASE WHEN r2 IS NULL AND template <> '' AND row_number() OVER (PARTITION BY r2 IS NULL, label, template ORDER BY ord) > 1 THEN 'template-duplicate' ELSE r2 END AS reason FROM b""")
 def dedupe_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows(spark, sf_dir).select("ord", "label", F.lit(None).cast("string").alias("reason"), curation.digest(F.col("text")).alias("exact"), curation.digest(X.near_signature(F.col("text"))).alias("near"), X.template_signature(F.col("text")).alias("template"))
     made = made.withColumn("template", curation.digest(F.nullif("template", F.lit(""))))
@@ -208,9 +269,9 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.coverage_gaps(made, made.select("label"), spark.createDataFrame([(c,) for c in _LANGS], "language string"), 100)
 
 
-@query(f"""WITH {_ROWS} SELECT label, language, count(*) AS n_rows, count(DISTINCT {_near('text')}) AS n_templates, round(count(*) / greatest(count(DISTINCT {_near('text')}), 1), 3) AS concentration FROM r GROUP BY 1, 2""")
+@query(f"""WITH {_ROWS}, k AS (SELECT label, language, {_template('text')} AS t FROM r) SELECT label, language, count(*) AS n_rows, count(DISTINCT t) AS n_templates, round(count(*) / greatest(count(DISTINCT t), 1), 3) AS concentration FROM k GROUP BY 1, 2""")
 def source_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.concentration(rows(spark, sf_dir).select("label", "language", X.near_signature(F.col("text")).alias("template")))
+    return curation.concentration(rows(spark, sf_dir).select("label", "language", curation.digest(X.template_signature(F.col("text"))).alias("template")))
 
 
 @query(f"WITH {_ROWS} SELECT source, label, count(*) AS n FROM r GROUP BY GROUPING SETS ((source, label), (source), (label))")
@@ -243,13 +304,13 @@ def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANON = r"regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '\p{Nd}+', '#', 'g')"
 
 
-@query(rf"""WITH c AS (SELECT conv_id * 1000 + turn AS ord, role AS label, {_CANON} AS c FROM conversations),
-s AS (SELECT ord, label, c, CASE WHEN length(c) >= 3 THEN list_distinct(list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3))) ELSE [] END AS s FROM c WHERE c <> '')
-SELECT a, b, dice FROM (SELECT x.ord AS a, y.ord AS b, CASE WHEN x.c = y.c THEN 1.0::DOUBLE WHEN least(length(x.c), length(y.c)) >= 12 AND least(len(x.s), len(y.s)) * 1.08 >= 0.92 * greatest(len(x.s), len(y.s)) THEN 2 * len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s)) ELSE 0 END AS dice
-FROM s x JOIN s y ON x.label = y.label AND x.ord < y.ord) WHERE dice >= 0.92""")
+@query(rf"""WITH c AS (SELECT page_id AS ord, split_part(url, '://', 1) AS label, {_CANON.replace('text', 'url')} AS c FROM pages),
+k AS (SELECT label, c, min(ord) AS ord, CASE WHEN length(c) >= 3 THEN list_distinct(list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3))) ELSE [] END AS s FROM c WHERE c <> '' GROUP BY label, c)
+SELECT k.ord AS a, c.ord AS b, 1.0::DOUBLE AS dice FROM c JOIN k ON c.label = k.label AND c.c = k.c WHERE c.ord <> k.ord
+UNION ALL SELECT a, b, dice FROM (SELECT x.ord AS a, y.ord AS b, 2 * len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s)) AS dice FROM k x JOIN k y ON x.label = y.label AND x.ord < y.ord AND least(length(x.c), length(y.c)) >= 12) WHERE dice >= 0.92""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("label"), "text")
-    return curation.similar_pairs(turns)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.split_part("url", F.lit("://"), F.lit(1)).alias("label"), F.col("url").alias("text"))
+    return curation.similar_pairs(pages)
 
 
 _CENTROIDS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
@@ -295,9 +356,13 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "r.text", "r.spans")
 
 
+#: What the base set of an augmentation has at most of a source, label and language.
+BASE_CAP = 500
+
+
 @query()
 def augment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = curation.source_cap(rows(spark, sf_dir), 2).drop("digest")
+    base = curation.source_cap(rows(spark, sf_dir), BASE_CAP).drop("digest")
     rules = [{"replacements": [["the ", "some of these "]], "id": "the", "languages": ["en"], "labels": ["0", "1", "none"]}]
     made = augmentation.augment(base, rules, holdout=table(spark, sf_dir, "benchmark"), least_change=0.0)
     return augmentation.augmentation_report(made)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as X
@@ -198,13 +196,3 @@ def erase_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cold_start_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_id").alias("seq"))
     return stream.cold_starts(made).select("event_id", "is_cold")
-
-
-@query(f"""WITH {_MATCHED} SELECT conv_id, turn, rule_id FROM m""")
-def streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision of a stream, run here on the table."""
-    return stream.decided(_messages(spark, sf_dir), RULES).select("conv_id", "turn", "rule_id")
-
-
-def rules_json() -> str:
-    return json.dumps(RULES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -43,6 +43,23 @@ def read_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_rows`` with ord, their place over all files, from 0: rows of a task are counted, and a row's place is what came before its task and within it. No row moves."""
+    numbered = rows.withColumns({"__part": F.spark_partition_id(), "__spot": F.expr("monotonically_increasing_id() & 8589934591")})
+    sizes = numbered.groupBy("__part").agg(F.count("*").alias("n"), F.min(F.struct("file", "block", "place")).alias("at"))
+    before, at = {}, 0
+    for r in sizes.orderBy("at").collect():  # a row per task of the read
+        before[r["__part"]] = at
+        at += r["n"]
+    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
+    return numbered.withColumn("ord", (start[F.col("__part")] + F.col("__spot")).cast("long") if before else F.lit(0).cast("long")).drop("__part", "__spot")
+
+
+def limited(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """The first rows by their order (ord, unless given), or all."""
+    return rows if most is None else rows.orderBy(*(order or ("ord",))).limit(most)
+
+
 def read_strict(spark: SparkSession, path: str, *required: str) -> DataFrame:
     """Lines of JSON, each of which must have the required fields; an empty file is an error too."""
     df = spark.read.schema(ROW).option("mode", "FAILFAST").json(path)
@@ -56,7 +73,8 @@ def read_strict(spark: SparkSession, path: str, *required: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, doubled quotes and line ends within quotes; short rows are filled with empty text, blank rows are left out."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path).na.fill("").replace("\r", "")
+    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path).na.fill("")
+    return df.select(*(F.replace(F.col(f"`{c}`"), F.lit("\r"), F.lit("")).alias(c.replace("\r", "")) for c in df.columns))
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +109,40 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return ok.select(F.explode("records").alias("r")).select("r.*")
 
 
+def paged(fetch: Callable[[int, str | None], dict], since: int | None = None, most: int | None = None, size: int = 200, created: str = "createdAt") -> Iterator[dict]:
+    """Records of a remote query, page by page: created after ``since``, in order of creation, ``most`` at most. fetch(size, marker) gives a page with records, and continuationMarker or serverErrorCode.
+
+    A page with an error ends the read; so does one without a marker. It is a generator for a task or the driver that lands pages; ``read_pages`` reads what has landed.
+    """
+    if size > 200:
+        raise ValueError("a page has 200 records at most")
+    marker, n, last = None, 0, None
+    while most is None or n < most:
+        page = fetch(size if most is None else min(size, most - n), marker)
+        if page.get("serverErrorCode"):
+            raise ValueError(f"server error {page['serverErrorCode']}")
+        for record in page.get("records", []):
+            at = int(record["fields"][created]["value"])
+            if since is not None and at <= since:
+                continue
+            if last is not None and at < last:
+                raise ValueError("records out of order")
+            last = at
+            yield record
+            n += 1
+            if most is not None and n >= most:
+                return
+        marker = page.get("continuationMarker")
+        if not marker:
+            return
+
+
+def since(records: DataFrame, after: int | None, most: int | None = None, created: str = "createdAt") -> DataFrame:
+    """Flattened records (createdAt) created after that time, in order of creation, ``most`` at most."""
+    made = records if after is None else records.where(F.col(created) > after)
+    return made if most is None else made.orderBy(created, "recordName").limit(most)
+
+
 def flattened(records: DataFrame, strings: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """Fields of records as columns; numbers that are text are read as numbers, others are null."""
     value = lambda n: F.col("fields")[n]["value"]
@@ -111,6 +163,26 @@ def write_rows(df: DataFrame, path: str, columns: Sequence[str] = ("text", "labe
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.option("ignoreNullFields", False).json(path)
 
 
+def write_curated(curated: DataFrame, kept: str, rejected: str | None = None, report: str | None = None) -> None:
+    """What ``curation.curated_rows`` gives, as lines of JSON: the kept rows with their five columns, the rejected with their reason, and a report of counts by source and reason."""
+    write_rows(curated.where("reason is null"), kept)
+    if rejected:
+        write_rows(curated.where("reason is not null"), rejected, ("text", "label", "source", "language", "reason"))
+    if report:
+        n = curated.groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.count_if("rehydrated").alias("rehydrated"))
+        n.coalesce(1).orderBy("source", "reason").write.json(report)
+
+
+def write_metrics(parts: dict[str, DataFrame], path: str) -> None:
+    """Lines of JSON of several tables of metrics, each with the kind that it is."""
+    made = None
+    for kind, df in parts.items():
+        one = df.select(F.lit(kind).alias("kind"), *df.columns)
+        made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+    if made is not None:
+        made.write.json(path)
+
+
 def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Compact JSON of the columns, keys in order; struct and map columns are written as they are."""
     return F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"})
@@ -128,6 +200,12 @@ def folder_digest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder, without reading them."""
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files_.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, int]:
     """What is left of df less the ids, and how many rows go: ids that aren't there count nothing."""
     gone = df.join(ids.select(key).distinct(), key, "left_semi").count()
@@ -154,11 +232,21 @@ class SampleStore:
         self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
 
 
-def page_after(df: DataFrame, anchor, order: str, key: str, size: int = 30, seen: DataFrame | None = None) -> DataFrame:
-    """The next page, newest first, before the anchor; rows already seen are left out."""
+#: What pages show in all.
+MOST_SHOWN = 200
+
+
+def is_last_page(n: int, shown: int, size: int = 30, most: int = MOST_SHOWN) -> bool:
+    """Whether a page of n rows, after which ``shown`` have been shown in all, ends the list: it is short, or there are enough."""
+    return n < size or shown >= most
+
+
+def page_after(df: DataFrame, anchor, order: str, key: str, size: int = 30, seen: DataFrame | None = None, shown: int = 0, most: int = MOST_SHOWN) -> DataFrame:
+    """The next page, newest first, before the anchor; rows already seen are left out. Of what has been shown before counts how much is left of ``most``."""
     made = df.where(F.col(order) < F.lit(anchor)) if anchor is not None else df
     if seen is not None:
-        made = made.join(F.broadcast(seen.select(key)), key, "left_anti")  # pages seen are a few hundred rows
+        made = made.join(seen.select(key).distinct(), key, "left_anti")
+    size = max(0, min(size, most - shown))
     return made.orderBy(F.desc(order), F.desc(key)).limit(size)
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import decontaminate, linededup, packing, simhash, toxicity
-from textloom.llm.common import shared_dir
+from textloom.llm.common import clear, remove, shared_dir, spooled
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage is written to the shared folder and read by the next."""
+    """The rows of the last stage over documents; each stage is written to the shared folder and read by the next. What a stage needed is removed once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = spooled()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        clear(spark, before)
+        if k:
+            remove(spark, f"{at}/{k - 1}")
     return docs

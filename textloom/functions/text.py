@@ -6,6 +6,7 @@ import difflib
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -67,32 +68,47 @@ def normalize(text: Column) -> Column:
     return collapse(nfc(text))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is made once however often f has it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """The value as a column that is made once: a projection on top is not merged with this one, which would make it again for every use."""
+    return F.explode(F.array(value))
+
+
 def near_signature(text: Column) -> Column:
-    """The first 80 letters and digits in lower case, each run of digits as 0."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Nd}+", "0"), r"[^\p{L}\p{N}]+", ""), 1, 80)
+    """The first 80 letters and digits in lower case, each run of digits as 0. Of long texts a beginning is enough if it has more than 80 of them."""
+    made = lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), r"\p{Nd}+", "0"), r"[^\p{L}\p{N}]+", "")
+    return F.substring(bound(made(F.substring(text, 1, 400)), lambda head: F.when(F.length(head) > 80, head).otherwise(made(text))), 1, 80)
 
 
 _WORD = r"[\p{L}\p{N}_]"
 _START, _END = rf"(?<!{_WORD})", rf"(?!{_WORD})"
-#: What differs from one sending of a template to the next, and what it becomes; in the order in which they are replaced.
+#: What differs from one sending of a template to the next, and what it becomes, in the order in which they are replaced; last a pattern without which there is nothing to replace, and which most texts lack.
 TEMPLATE_RULES = (
-    (rf"https?://\S+|{_START}{_WORD}[\p{{L}}\p{{N}}_.+-]*+@{_WORD}[\p{{L}}\p{{N}}_.-]*\.[a-z]{{2,}}{_END}", " dynamicurl "),
-    (r"^\s*(?:\[[^\]]{1,30}\]|【[^】]{1,30}】|official\s*:|公式\s*[:：])\s*", ""),
-    (r"(?:reply|txt)\s+stop(?![\p{L}\p{N}_]).*$|回复\s*[a-z]\s*退订.*$|配信停止.*$", ""),
-    (rf"{_START}[a-z]{{1,5}}[-_]?[a-z0-9]{{6,}}+{_END}", " dynamicid "),
-    (r"\p{Nd}+", " dynamicnumber "),
-    (r"[^\p{L}\p{N}]+", ""),
+    (rf"https?://\S+|{_START}{_WORD}[\p{{L}}\p{{N}}_.+-]*+@{_WORD}[\p{{L}}\p{{N}}_.-]*\.[a-z]{{2,}}{_END}", " dynamicurl ", "@|http"),
+    (r"^\s*(?:\[[^\]]{1,30}\]|【[^】]{1,30}】|official\s*:|公式\s*[:：])\s*", "", r"^\s*[\[【o公]"),
+    (r"(?:reply|txt)\s+stop(?![\p{L}\p{N}_]).*$|回复\s*[a-z]\s*退订.*$|配信停止.*$", "", "stop|退订|配信停止"),
+    (rf"{_START}[a-z]{{1,5}}[-_]?[a-z0-9]{{6,}}+{_END}", " dynamicid ", None),
+    (r"\p{Nd}+", " dynamicnumber ", "[0-9]|[^\x00-\x7F]"),
+    (r"[^\p{L}\p{N}]+", "", None),
 )
 
 
 def template_signature(text: Column) -> Column:
     """The text's letters and digits without what differs from one sending of a template to the next."""
     made = F.lower(_normal(text, _SOME_COMPATIBLE, _COMPATIBLE, _nfkc))
-    for pattern, to in TEMPLATE_RULES:
-        made = F.regexp_replace(made, pattern, to)
+    for pattern, to, needed in TEMPLATE_RULES:
+        made = bound(made, _where(needed, pattern, to)) if needed else F.regexp_replace(made, pattern, to)
     return made
 
 
+def _where(needed: str, pattern: str, to: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.rlike(needed), F.regexp_replace(t, pattern, to)).otherwise(t)
+
+
 def detect_language(text: Column) -> Column:
     """By script, and for Latin letters by stop words (1 each) and accents (2 each); en below 2. The first language wins a tie."""
     every = sorted({w for stops, _ in MARKERS.values() for w in stops})

@@ -86,8 +86,7 @@ def augment(base: DataFrame, rules: Sequence[dict], boundary: Sequence[dict] = (
         every = every.unionByName(p)
     every = every.withColumn("change", F.when(F.col("phase") == 2, X.semantic_change("before", F.when(F.col("phase") == 2, F.col("text")))).otherwise(1.0)).drop("before")
     every = every.withColumn("id", F.xxhash64("phase", "ord", "k"))
-    normal = X.normalize(F.col("text"))
-    keyed = every.select("id", "phase", "ord", "k", "label", "change", normal.alias("text"))
+    keyed = every.select("id", "phase", "ord", "k", "label", "change", X.once(X.normalize(F.col("text"))).alias("text"))
     held = holdout.select(X.normalize(F.col("text")).alias("text")) if holdout is not None else spark.createDataFrame([], "text string")
     keys = holdout_flags(keyed, held).select("id", "phase", "ord", "k", "label", "change", "in_exact", "in_near", digest(F.lower("text")).alias("low"), digest(X.near_signature(F.col("text"))).alias("near"), digest(F.nullif(X.template_signature(F.col("text")), F.lit(""))).alias("template"))
 

@@ -76,7 +76,7 @@ def dedupe_cascade(df: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], re
 def _prepared(rows: DataFrame, labels: Sequence[str] | None, keep: float) -> DataFrame:
     """ord, label, source, language and text of every row in normal form, its early reason, and placeholders filled where there is none."""
     keys = [c for c in ("predicted_label", "predicted_confidence", "agreement", "model_version") if c in rows.columns]
-    made = rows.select("ord", "label", "source", "language", *([F.col("text").alias("raw")] if keys else []), X.normalize(F.col("text")).alias("text"), *keys)
+    made = rows.select("ord", "label", "source", "language", *([F.col("text").alias("raw")] if keys else []), X.once(X.normalize(F.col("text"))).alias("text"), *keys)
     known = F.col("label").isin(*labels) if labels is not None else F.col("label").isNotNull()
     early = [F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty"), F.when(~F.coalesce(known, F.lit(False)), "unknown-label")]
     if keys:
@@ -85,7 +85,8 @@ def _prepared(rows: DataFrame, labels: Sequence[str] | None, keep: float) -> Dat
     made = made.withColumn("early", first_reason(*early)).drop(*keys, "raw")
     made = made.withColumn("language", F.when(F.col("early").isNotNull() | F.coalesce(F.col("language").isin(*X.LANGUAGES), F.lit(False)), F.col("language")).otherwise(X.detect_language(F.col("text"))))
     made = made.withColumn("rehydrated", F.col("early").isNull() & F.coalesce(F.col("text").rlike(X.PLACEHOLDER), F.lit(False)))
-    return made.withColumn("text", F.when(F.col("rehydrated"), X.collapse(X.rehydrate(F.when(F.col("rehydrated"), F.col("text")), F.col("language")))).otherwise(F.col("text")))
+    filled = F.when(F.col("rehydrated"), X.collapse(X.rehydrate(F.when(F.col("rehydrated"), F.col("text")), F.col("language")))).otherwise(F.col("text"))
+    return made.select("ord", "label", "source", "language", "early", "rehydrated", X.once(filled).alias("text"))
 
 
 def curate(rows: DataFrame, holdout: DataFrame, labels: Sequence[str] | None = None, languages: Sequence[str] = X.LANGUAGES, min_length: int = 8, max_length: int = 500, keep: float = 0.5, cap: int = 500, margins: DataFrame | None = None) -> DataFrame:

@@ -77,3 +77,15 @@ def test_normal_forms_equal_python(spark):
 def test_names_and_check_digits(spark):
     assert column(spark, ["Spoken English (US)", "MANDARIN", "Klingon", None], X.language_name) == ["en", "zh", None, None]
     assert column(spark, ["11010519491231002", "1101051949123100", None], X.id_check_digit) == ["X", None, None]
+
+
+def test_ngrams_equal_loops():
+    import numpy as np
+
+    for text in ("", "a", "ab", "hello wörld 你好 😀!", "x" * 300):
+        out = np.zeros(64)
+        for n in (2, 3, 4):
+            for i in range(len(text) - n + 1):
+                out[X.fnv1a(text[i : i + n].encode()) % 64] += 1
+        out[X.fnv1a(b"flag:1") % 64] = 1
+        assert np.allclose(X.ngram_vector(text, (False, True), 64), out / np.sqrt((out * out).sum()))

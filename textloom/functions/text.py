@@ -253,11 +253,17 @@ def fnv64(text: pd.Series) -> pd.Series:
 
 
 def ngram_vector(text: str, flags: tuple[bool, ...] = (), dims: int = 512) -> np.ndarray:
-    """Counts of hashed character 2- to 4-grams, and flags set to one, at unit length."""
+    """Counts of hashed character 2- to 4-grams, and flags set to one, at unit length. All grams of a length are hashed at once, byte by byte."""
     out = np.zeros(dims)
+    data = np.frombuffer(text.encode(), np.uint8)
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes at which characters begin
     for n in (2, 3, 4):
-        for i in range(len(text) - n + 1):
-            out[fnv1a(text[i : i + n].encode()) % dims] += 1
+        starts, ends = first[: max(0, len(first) - n)], first[n:]
+        h = np.full(len(starts), FNV_FEATURES, np.uint64)
+        for k in range(int((ends - starts).max(initial=0))):
+            on = starts + k < ends
+            h[on] = (h[on] ^ data[starts[on] + k]) * np.uint64(_FNV_PRIME)
+        out += np.bincount((h % np.uint64(dims)).astype(np.int64), minlength=dims)
     for k, on in enumerate(flags):
         if on:
             out[fnv1a(f"flag:{k}".encode()) % dims] = 1

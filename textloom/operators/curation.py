@@ -168,9 +168,14 @@ def supplement_cap(df: DataFrame, most: int, labels: Sequence[str] | None = None
 
 def split(df: DataFrame, fraction: float, group: str = "label", seed: str = "7", clamp: bool = False) -> DataFrame:
     """df with part: validation or train, within each group by hash. Groups under five rows train; with clamp at least one row is on either side."""
-    n, rank = F.count("*").over(Window.partitionBy(group)), F.row_number().over(Window.partitionBy(group).orderBy(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col("ord").cast("string")), 256), "ord"))
+    key = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col("ord").cast("string")), 256)
+    # ranks within a group and the first digits of the hash, after as many as there are under lower digits: no task sorts a whole group
+    made = df.withColumns({"__k": F.unhex(key), "__b": F.substring(key, 1, 3)})
+    w = Window.partitionBy(group)
+    sizes = made.groupBy(group, "__b").agg(F.count("*").alias("__m")).withColumns({"__n": F.sum("__m").over(w), "__before": F.sum("__m").over(w.orderBy("__b")) - F.col("__m")}).withColumnRenamed(group, "__group").withColumnRenamed("__b", "__bucket").drop("__m")
+    made = made.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__b") == F.col("__bucket"))).withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy(group, "__b").orderBy("__k", "ord")))
     take = F.greatest(F.lit(1), F.least(F.floor(F.col("__n") * fraction + 0.5), F.col("__n") - 1)) if clamp else F.floor(F.col("__n") * fraction)
-    return df.withColumns({"__n": n, "__r": rank}).withColumn("part", F.when((F.col("__n") >= 5) & (F.col("__r") <= take), "validation").otherwise("train")).drop("__n", "__r")
+    return made.withColumn("part", F.when((F.col("__n") >= 5) & (F.col("__r") <= take), "validation").otherwise("train")).select(*df.columns, "part")
 
 
 def round_robin(df: DataFrame, buckets: Sequence[str], most: int) -> DataFrame:

@@ -326,6 +326,33 @@ def test_simhash_against_brute_force(spark, band_rows):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs_of(spark, texts)).collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("radius", [0, 3, 22, 40])
+def test_indexed_pairs_are_all_pairs(radius):
+    rng = np.random.default_rng(radius)
+    f = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    near = np.repeat(f[:100], 6, axis=0)
+    for _ in range(radius):
+        near[np.arange(600), rng.integers(0, 2, 600)] ^= np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
+    f = np.concatenate((f, near, np.zeros((40, 2), np.uint64) | np.arange(40, dtype=np.uint64)[:, None]))
+    f = np.unique(f[np.argsort(np.bitwise_count(f).sum(axis=1), kind="stable")], axis=0)
+    f = f[np.argsort(np.bitwise_count(f).sum(axis=1), kind="stable")]
+    listed = lambda found: sorted(x for p, q in found for x in zip(p.tolist(), q.tolist(), strict=True))
+    for a, b, same in ((f, f, True), (f[:400], f[400:], False)):
+        apart = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)
+        want = [(p, q) for p, q in zip(*(x.tolist() for x in np.nonzero(apart <= radius)), strict=True) if p < q or not same]
+        assert listed(simhash.close_pairs(a, b, radius, same)) == want
+        for m in (7, 8, 12):
+            assert listed(simhash.indexed_pairs(a, b, radius, same, m, most=1000)) == want
+
+
+def test_many_fingerprints_are_not_all_compared():
+    """Of evenly spread fingerprints the index meets a small part, and is taken; where all agree in most bits, tiles are."""
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 1 << 63, (60_000, 2), dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, (60_000, 2), dtype=np.uint64)
+    assert simhash._cheapest(f, f, simhash.RADIUS, True) > 0
+    assert simhash._cheapest(f & np.uint64(0xFF), f & np.uint64(0xFF), simhash.RADIUS, True) == 0
+
+
 def test_star_contraction_equals_the_driver(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1, 1)]

@@ -1,8 +1,11 @@
-"""Near-duplicate documents: SimHash fingerprints of 128 bits, compared exactly tile by tile."""
+"""Near-duplicate documents: SimHash fingerprints of 128 bits, compared exactly by stretches of bits or tile by tile."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +78,109 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int
                     yield p[ok] + i, q[ok] + j
 
 
+def _cut(radius: int, m: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, most) of m stretches of the 128 bits: two fingerprints at most radius apart differ in at most so many bits of one of them."""
+    at = [128 * k // m for k in range(m + 1)]
+    return [(at[k], at[k + 1] - at[k], (radius + 1) * (k + 1) // m - (radius + 1) * k // m - 1) for k in range(m)]
+
+
+def _stretch(f: np.ndarray, first: int, width: int) -> np.ndarray:
+    word, shift = divmod(first, 64)
+    v = f[:, word] >> U64(shift)
+    if shift + width > 64:
+        v = v | f[:, word + 1] << U64(64 - shift)
+    return (v & U64((1 << width) - 1)).astype(np.int64)
+
+
+@cache
+def _masks(width: int, most: int) -> np.ndarray:
+    """All numbers of so many bits of which at most ``most`` are set, 0 first."""
+    every = [np.zeros(1, np.int64)] if most >= 0 else [np.zeros(0, np.int64)]
+    for n in range(1, most + 1):
+        every.append(np.array([sum(1 << b for b in x) for x in combinations(range(width), n)], np.int64))
+    return np.concatenate(every)
+
+
+def indexed_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, m: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``close_pairs``, in no order, by an index of each of m stretches of bits: rows that differ in few bits of one are compared. A pair is given for the first stretch by which it is met."""
+    cuts = _cut(radius, m)
+    for k, (first, width, least) in enumerate(cuts):
+        va, vb = _stretch(a, first, width), _stretch(b, first, width)
+        order_a, order_b = np.argsort(va, kind="stable"), np.argsort(vb, kind="stable")
+        # the half that holds less of the stretch tells more of the rest
+        half = 0 if first + width // 2 >= 64 else 1
+        a0, b0, a1, b1 = a[order_a, half], b[order_b, half], a[order_a, 1 - half], b[order_b, 1 - half]
+        bounds = np.zeros((1 << width) + 1, np.int32)
+        np.cumsum(np.bincount(vb, minlength=1 << width), out=bounds[1:])
+        va = va[order_a]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(va)), bool), va[1:] != va[:-1])))
+        size, values = np.diff(np.append(start, len(va))), va[start]
+        for mask in _masks(width, least):
+            other = values ^ mask
+            low = bounds[other]
+            n = bounds[other + 1] - low
+            if same and mask:
+                n[other < values] = 0  # met from the other side
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            row = np.repeat(start[some], size[some]) + _count_up(size[some])
+            low, n = np.repeat(low[some], size[some]), np.repeat(n[some], size[some]).astype(np.int64)
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + most, "right")))
+                p = np.repeat(row[i:j], n[i:j])
+                q = np.repeat(low[i:j] - (ends[i:j] - n[i:j] - (ends[i] - n[i])), n[i:j]) + np.arange(len(p))
+                i = j
+                near = np.bitwise_count(a0[p] ^ b0[q])
+                at = np.flatnonzero(near <= radius)
+                p, q = p[at], q[at]
+                ok = near[at].astype(int) + np.bitwise_count(a1[p] ^ b1[q]) <= radius
+                p, q = order_a[p[ok]], order_b[q[ok]]
+                if same:
+                    if not mask:
+                        p, q = p[p < q], q[p < q]
+                    p, q = np.minimum(p, q), np.maximum(p, q)
+                for first_, width_, least_ in cuts[:k]:
+                    if len(p):
+                        later = np.bitwise_count(_stretch(a[p] ^ b[q], first_, width_)) > least_
+                        p, q = p[later], q[later]
+                if len(p):
+                    yield p, q
+
+
+def _count_up(n: np.ndarray) -> np.ndarray:
+    """0 to n[k] - 1 for each k in turn."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _cheapest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, sample: int = 256) -> int:
+    """The number of stretches by which ``indexed_pairs`` is fastest, 0 if tiles are. The rows that meet are estimated from a sample of a, which decides on speed alone."""
+    best, cost = 0, 4.0 * len(a) * len(b)  # nanoseconds
+    rows = a[:: max(1, len(a) // sample)]
+    for m in range(7, 13):
+        cuts = _cut(radius, m)
+        looked = sum(comb(w, n) for _, w, most in cuts for n in range(most + 1))
+        if looked > 20_000 or 30.0 * looked * len(a) + 40_000.0 * looked > cost:
+            continue
+        met = 0
+        for first, width, most in cuts:
+            held = np.bincount(_stretch(b, first, width), minlength=1 << width)
+            v = _stretch(rows, first, width)
+            met += sum(int(held[v ^ x].sum()) for x in _masks(width, most))
+        now = 30.0 * looked * len(a) + 40_000.0 * looked + 20.0 * met * len(a) / len(rows)
+        if now < cost:
+            best, cost = m, now
+    return best
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``close_pairs``, by an index where that costs less than all comparisons."""
+    m = _cheapest(a, b, radius, same)
+    return indexed_pairs(a, b, radius, same, m) if m else close_pairs(a, b, radius, same)
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, hi, lo, n_distinct) of every document, spooled."""
 
@@ -94,9 +200,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, band_rows: int = 131_072) -> D
     Fingerprints at most ``radius`` of 128 bits apart are linked, and so are their groups; ``group_id`` is the
     least doc_id of the group (null if there is none), ``n_links`` the number of other rows at most ``radius`` bits from this one, copies among them,
     and ``keep`` is true in exactly one row of the group, the first by doc_id and text hash.
-    Each pair of fingerprints is compared: those in order of population count are cut into bands, every pair of
-    bands is a task that passes over tile pairs whose counts differ beyond the radius, and sends on
-    only a spanning forest of the links it finds.
+    No link is missed: fingerprints in order of population count are cut into bands, and every pair of bands is compared
+    by stretches of bits, in one of which two at most ``radius`` apart differ little (or, where that costs more,
+    all with all, passing over tiles whose counts differ beyond the radius). Only a spanning forest of the links is sent on.
 
     Texts without a word (null, empty, signs only) have no fingerprint: each such row is a group of its
     own. Equal rows are one group, of which one row has keep. A null doc_id comes last. Other columns are not read.
@@ -113,7 +219,7 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
     n = fps.count()
     roots = near = None
     if n > 1:
-        bands = max(min(32, -(-n // 1024)), -(-n // band_rows))
+        bands = max(min(16, -(-n // 1024)), -(-n // band_rows))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import pyspark
@@ -155,14 +261,15 @@ def _grouped(table: DataFrame, radius: int, band_rows: int) -> DataFrame:
                     label = np.arange(len(a) if x == y else len(a) + len(b))
                     near_a, near_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
                     links = []
-                    for p, q in close_pairs(a, b, radius, x == y):
+                    for p, q in near_pairs(a, b, radius, x == y):
                         np.add.at(near_a, p, rows_b[q])
                         np.add.at(near_b, q, rows_a[p])
                         fresh = label[p] != label[q + shift]
                         if fresh.any():
-                            before = label[p[fresh]], label[q[fresh] + shift]
+                            before = np.unique(np.concatenate((label[p[fresh]], label[q[fresh] + shift])))
                             label = local_labels(len(label), p[fresh], q[fresh] + shift, label)
-                            links.append(np.unique(np.stack((np.minimum(*before), np.maximum(*before)), 1), axis=0))
+                            gone = before[label[before] != before]
+                            links.append(np.stack((label[gone], gone), 1))
                     if links:
                         e = np.concatenate(links)
                         every = a if x == y else np.concatenate((a, b))

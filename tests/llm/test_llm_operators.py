@@ -293,6 +293,25 @@ def test_lm_against_brute_force(spark, monkeypatch):
             assert (r.perplexity is None) == (n == 0)
 
 
+def test_lm_sends_only_frequent_words(spark, monkeypatch):
+    """With a vocabulary over what is sent, pairs of words that are sent don't become rows, and scores stay the same."""
+    rng = random.Random(18)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(1, 60))) for _ in range(200)] + ["", None, "once", "once more"]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:20])), SCHEMA).repartition(3)
+    seen, original = {}, lm._rare
+    monkeypatch.setattr(lm, "_rare", lambda *a: seen.setdefault(len(seen), original(*a)))
+    want = {r.doc_id: r for r in lm.score(df).collect()}
+    assert not seen  # of words that occur once nothing is sent or joined
+    n_words = sum(r.n_words for r in want.values())
+    for most in (0, 5, 100):
+        got = {r.doc_id: r for r in lm.score(df, broadcast_words=most).collect()}
+        assert got.keys() == want.keys()
+        for d, r in got.items():
+            assert r.n_words == want[d].n_words and abs(r.log_prob - want[d].log_prob) < 1e-6 and (r.perplexity is None) == (want[d].perplexity is None)
+    rows = [pairs.agg({"k": "sum"}).first()[0] for pairs, _ in seen.values()]
+    assert rows[0] == n_words and rows[1] < 0.9 * n_words and rows[2] < 0.6 * n_words
+
+
 def test_weights_raise_held_out_likelihood():
     rng = np.random.default_rng(0)
     b, p2, p1, n = rng.integers(0, 4, 200), rng.random(200), rng.random(200) * 0.01, rng.integers(1, 9, 200)

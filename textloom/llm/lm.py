@@ -21,7 +21,7 @@ _START = np.uint64(0x5851F42D4C957F2D)
 
 @dataclass
 class Vocabulary:
-    """Hashes in order, with counts as a word and as a context, of all documents and of those that aren't held out. The last place, without a hash, is the start of a text."""
+    """Hashes in order, with counts as a word and as a context, of all documents and of those that aren't held out. Two places follow without a hash: the start of a text, and all words that aren't in it, with the counts of one that occurs once."""
 
     hashes: np.ndarray
     n: np.ndarray
@@ -30,7 +30,17 @@ class Vocabulary:
     context_train: np.ndarray
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.hashes, h)
+        at = np.searchsorted(self.hashes, h)
+        if len(self.hashes):
+            at[self.hashes[np.minimum(at, len(self.hashes) - 1)] != h] = len(self.hashes) + 1
+        else:
+            at[:] = 1
+        return at
+
+    def absent(self, pair: np.ndarray) -> np.ndarray:
+        """Pairs with a word that isn't in it."""
+        none = U64(len(self.hashes) + 1)
+        return (pair >> U64(32) == none) | (pair & U64(0xFFFFFFFF) == none)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -72,8 +82,10 @@ def log_probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, tot
 
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of the same weight side by side, compressed."""
+    if not len(a):
+        return b""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
@@ -99,8 +111,8 @@ def _held(batch: pa.RecordBatch, percent: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a number that is the same for equal texts, so that copies are held out together."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("th"))
+    """doc_id, text, a number that is the same for equal texts, so that copies are held out together, and a hash that tells texts apart."""
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("th"), F.xxhash64("text").alias("key"))
 
 
 def vocabulary_table(docs: DataFrame, held_percent: int = 10) -> DataFrame:
@@ -126,6 +138,27 @@ def vocabulary_table(docs: DataFrame, held_percent: int = 10) -> DataFrame:
     return spool(counted.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "n_train", "context", "context_train"))), "words")
 
 
+def _vocabulary(table: DataFrame, least: int, n: int, total: int, part_words: int = 1 << 20) -> Vocabulary:
+    """The n words that occur ``least`` times or more, gathered by ranges of their hashes, so that little is held twice."""
+    names, kind = ("n", "n_train", "context", "context_train"), np.int32 if total < 1 << 31 else np.int64
+    hashes, columns = np.empty(n, np.uint64), [np.zeros(n + 2, kind) for _ in names]
+    narrow = table.where(F.col("n") >= least).select("h", *(F.col(c).cast("int" if kind is np.int32 else "long") for c in names))
+    parts, i = -(-n // part_words), 0
+    for k in range(parts):
+        top = F.shiftrightunsigned("h", 48)
+        t = narrow.where((top >= (k << 16) // parts) & (top < (k + 1 << 16) // parts)).toArrow()
+        h = t["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        hashes[i : i + len(h)] = h[order]
+        for to, c in zip(columns, names, strict=True):
+            to[i : i + len(h)] = t[c].to_numpy()[order]
+        i += len(h)
+    start = table.where(F.col("h") == int(_START.astype(np.int64))).first()
+    for to, c, one in zip(columns, names, (1, 0, 1, 0), strict=True):
+        to[n:] = (start[c] if start else 0), one
+    return Vocabulary(hashes, *columns)
+
+
 def _pairs(a: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context << 32 | word, text) of every word, by places in the vocabulary, and the words of each text."""
     h, rows = _words(a)
@@ -148,8 +181,9 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
 
 
-def _learn_weights(docs: DataFrame, sent, shards: int, held_percent: int, total: int, size: int) -> np.ndarray:
-    """Pairs with their counts go to their shard, which sends on how many held-out words had which estimates."""
+def _learn_weights(docs: DataFrame, sent, shards: int, held_percent: int, total: int, size: int, rare: DataFrame | None) -> np.ndarray:
+    """Pairs with their counts go to their shard, which sends on how many held-out words had which estimates. With rare, which has them of the pairs with an absent word, those stay away."""
+    apart = rare is not None
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
@@ -157,6 +191,9 @@ def _learn_weights(docs: DataFrame, sent, shards: int, held_percent: int, total:
             a, held = string_array(batch.column(1)), _held(batch, held_percent)
             for i, j in slices(a, _SLICE):
                 pair, doc, _ = _pairs(a.slice(i, j - i), v)
+                if apart:
+                    there = ~v.absent(pair)
+                    pair, doc = pair[there], doc[there]
                 order, shard = _by_shard(pair, shards)
                 pair, out = pair[order], held[i:j][doc[order]]
                 first = _runs(pair)
@@ -174,11 +211,12 @@ def _learn_weights(docs: DataFrame, sent, shards: int, held_percent: int, total:
         n, held = (np.concatenate([_unpack(r[k], r["size"], np.uint32) for r in rows]).astype(np.int64) for k in ("n", "held"))
         pair, at = np.unique(pair, return_inverse=True)
         held, n = np.bincount(at, held, len(pair)).astype(np.int64), np.bincount(at, n, len(pair)).astype(np.int64)
-        c2, context, word = (n - held)[held > 0], v.context_train[(pair[held > 0] >> U64(32)).astype(np.int64)], v.n_train[(pair[held > 0] & U64(0xFFFFFFFF)).astype(np.int64)]
+        n[v.absent(pair)] = 0  # as often as the absent word without the held-out one
+        c2, context, word = np.maximum(n - held, 0)[held > 0], v.context_train[(pair[held > 0] >> U64(32)).astype(np.int64)], v.n_train[(pair[held > 0] & U64(0xFFFFFFFF)).astype(np.int64)]
         return _histogram(c2, context, word, held[held > 0], total)
 
     cells = _keyed(docs).mapInArrow(emit, "shard int, size long, pairs binary, n binary, held binary").groupBy("shard").applyInArrow(count, "b int, q2 int, q1 int, n long")
-    return _weights(cells, size)
+    return _weights(cells.unionByName(rare) if apart else cells, size)
 
 
 def _histogram(c2: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, total: int) -> pa.Table:
@@ -207,8 +245,9 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
     A null or empty text, or one without words, has 0 words, log_prob 0 and a null perplexity. Rows with null or repeated doc_id
     are scored each. Copies of a text count as often as they occur. Other columns are not read; an empty table gives no rows.
 
-    Pairs go to their shard once as counts, for the weights, and once with the texts that they're in; a vocabulary over
-    ``broadcast_words`` isn't sent to workers but joined, with the same scores.
+    Pairs go to their shard once as counts, for the weights, and once with the texts that they're in. Words that occur twice or more
+    are sent to workers; of one that they don't have, all counts are known. Where over ``broadcast_words`` occur twice, the most
+    frequent of them are sent, and the few pairs with one of the others are joined as rows, with the same scores.
     """
     need(docs, "doc_id", "text")
     docs = readable(docs)
@@ -219,20 +258,14 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
     if not total:
         return docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
-    if size > broadcast_words:
-        return _joined(docs, table, size, total, total_train, held_percent)
-    narrow = "int" if total < 1 << 31 else "long"
-    t = table.select("h", *(F.col(c).cast(narrow) for c in ("n", "n_train", "context", "context_train"))).toArrow()
-    h = t["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(h[order] == _START)
-    order = np.concatenate((np.delete(order, start), order[start]))
-    columns = [t[c].to_numpy()[order] for c in ("n", "n_train", "context", "context_train")]
-    h = h[order][:-1]
-    del t, order
-    sent = spark.sparkContext.broadcast(Vocabulary(h, *columns))  # at most broadcast_words words
+    least, sent_words = 2, table.where("n >= 2").count()
+    if sent_words > broadcast_words:
+        least, sent_words = _most_frequent(table, broadcast_words)
+    sent = spark.sparkContext.broadcast(_vocabulary(table, least, sent_words, total))  # at most broadcast_words words
     shards = shards or max(partitions(spark), -(-total // shard_words))
-    weights = _learn_weights(docs, sent, shards, held_percent, total_train or 0, size)
+    apart = least > 2
+    seen, known = _rare(docs, table, sent, held_percent) if apart else (None, None)
+    weights = _learn_weights(docs, sent, shards, held_percent, total_train or 0, size, _rare_cells(known, total_train or 0) if apart else None)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, part, number = sent.value, TaskContext.get().partitionId(), 0
@@ -240,6 +273,9 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
             a = string_array(batch.column(1))
             for i, j in slices(a, _SLICE):
                 pair, doc, n_words = _pairs(a.slice(i, j - i), v)
+                if apart:
+                    there = ~v.absent(pair)
+                    pair, doc = pair[there], doc[there]
                 order, shard = _by_shard(pair, shards)
                 pair, doc = pair[order], doc[order].astype(np.uint32)
                 first = _runs(pair)
@@ -252,10 +288,10 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
                     if x == y and s != home:
                         continue
                     whose = batch.column(0).slice(i, j - i) if s == home else batch.column(0).slice(0, 0)
-                    ids = pa.ListArray.from_arrays(pa.array([0, len(whose)], pa.int32()), whose)
+                    ids, keys = (pa.ListArray.from_arrays(pa.array([0, len(whose)], pa.int32()), x) for x in (whose, batch.column(3).slice(i if s == home else 0, len(whose))))
                     counts = pa.array([n_words.tolist() if s == home else []], pa.list_(pa.int32()))
                     blobs = [_pack(np.diff(pair[first[p:q]], prepend=U64(0))), _pack(n[p:q]), _pack(doc[x:y])]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part << 32 | number]), pa.array([int(q - p)]), pa.array([int(y - x)]), *(pa.array([b], pa.binary()) for b in blobs), ids, counts], names=["shard", "slice", "size", "n_pairs", "pairs", "n", "docs", "ids", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part << 32 | number]), pa.array([int(q - p)]), pa.array([int(y - x)]), *(pa.array([b], pa.binary()) for b in blobs), ids, keys, counts], names=["shard", "slice", "size", "n_pairs", "pairs", "n", "docs", "ids", "keys", "n_words"])
                 number += 1
 
     def answer(batch: pa.Table) -> pa.Table:
@@ -265,6 +301,7 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
         ns = [_unpack(p, k, np.uint32) for p, k in zip(batch["n"].to_pylist(), sizes, strict=True)]
         known, at = np.unique(np.concatenate(pairs), return_inverse=True)
         count = np.bincount(at, np.concatenate(ns), len(known))
+        count[v.absent(known)] = 1
         value = log_probability(count, v.n[(known & U64(0xFFFFFFFF)).astype(np.int64)], v.context[(known >> U64(32)).astype(np.int64)], total, size, weights)
         made, bounds = [], np.concatenate(([0], np.cumsum(sizes)))
         for k, (docs_, m) in enumerate(zip(batch["docs"].to_pylist(), batch["n_pairs"].to_pylist(), strict=True)):
@@ -272,7 +309,7 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
             sums = np.bincount(d, np.repeat(value[at[bounds[k] : bounds[k + 1]]], ns[k])) if len(d) else np.zeros(0)
             some = np.flatnonzero(sums)
             made.append((len(some), _pack(np.diff(some, prepend=0).astype(np.uint32)), _pack(sums[some])))
-        return pa.table({"slice": batch["slice"], "size": pa.array([m[0] for m in made], pa.int64()), "docs": pa.array([m[1] for m in made], pa.binary()), "sums": pa.array([m[2] for m in made], pa.binary()), "ids": batch["ids"], "n_words": batch["n_words"]})
+        return pa.table({"slice": batch["slice"], "size": pa.array([m[0] for m in made], pa.int64()), "docs": pa.array([m[1] for m in made], pa.binary()), "sums": pa.array([m[2] for m in made], pa.binary()), "ids": batch["ids"], "keys": batch["keys"], "n_words": batch["n_words"]})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, n = table["ids"].combine_chunks().flatten(), np.asarray(table["n_words"].combine_chunks().flatten())
@@ -280,48 +317,74 @@ def score(docs: DataFrame, held_percent: int = 10, shards: int | None = None, br
         for k, d, s in zip(table["size"].to_pylist(), table["docs"].to_pylist(), table["sums"].to_pylist(), strict=True):
             total_[np.cumsum(_unpack(d, k, np.uint32))] += _unpack(s, k, np.float64)
         mean = total_ / np.maximum(n, 1)
-        return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int32()), "log_prob": total_, "perplexity": pa.array(np.exp(-mean), mask=n == 0)})
+        return pa.table({"doc_id": ids, "key": table["keys"].combine_chunks().flatten(), "n_words": pa.array(n, pa.int32()), "log_prob": total_, "perplexity": pa.array(np.exp(-mean), mask=n == 0)})
 
     ids = T.ArrayType(kind)
-    emitted = T.StructType([T.StructField(*f) for f in (("shard", T.IntegerType()), ("slice", T.LongType()), ("size", T.LongType()), ("n_pairs", T.LongType()), ("pairs", T.BinaryType()), ("n", T.BinaryType()), ("docs", T.BinaryType()), ("ids", ids), ("n_words", T.ArrayType(T.IntegerType())))])
-    answered = T.StructType([T.StructField(*f) for f in (("slice", T.LongType()), ("size", T.LongType()), ("docs", T.BinaryType()), ("sums", T.BinaryType()), ("ids", ids), ("n_words", T.ArrayType(T.IntegerType())))])
-    return _keyed(docs).mapInArrow(emit, emitted).groupBy("shard").applyInArrow(answer, answered).groupBy("slice").applyInArrow(gather, out)
-
-
-def _joined(docs: DataFrame, table: DataFrame, size: int, total: int, total_train: int, held_percent: int) -> DataFrame:
-    """The same by joins, for a vocabulary that is too large to send."""
+    emitted = T.StructType([T.StructField(*f) for f in (("shard", T.IntegerType()), ("slice", T.LongType()), ("size", T.LongType()), ("n_pairs", T.LongType()), ("pairs", T.BinaryType()), ("n", T.BinaryType()), ("docs", T.BinaryType()), ("ids", ids), ("keys", T.ArrayType(T.LongType())), ("n_words", T.ArrayType(T.IntegerType())))])
+    answered = T.StructType([T.StructField(*f) for f in (("slice", T.LongType()), ("size", T.LongType()), ("docs", T.BinaryType()), ("sums", T.BinaryType()), ("ids", ids), ("keys", T.ArrayType(T.LongType())), ("n_words", T.ArrayType(T.IntegerType())))])
+    gathered = T.StructType([out.fields[0], T.StructField("key", T.LongType()), *out.fields[1:]])
+    scored = _keyed(docs).mapInArrow(emit, emitted).groupBy("shard").applyInArrow(answer, answered).groupBy("slice").applyInArrow(gather, gathered)
+    if not apart:
+        return scored.drop("key")
+    rest = _rare_sums(docs, seen, known, total, size, weights)
+    scored = scored.drop("perplexity").join(rest, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))
+    return scored.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))).alias("perplexity"))
+
+
+def _most_frequent(table: DataFrame, most: int) -> tuple[int, int]:
+    """(least, words): so many words, at most ``most``, occur ``least`` times or more."""
+    # a row for each count that occurs: at most about the root of twice the corpus's words
+    counts = table.where("n > 0").groupBy("n").count().orderBy(F.desc("n")).collect()
+    least, words_ = counts[0].n + 1, 0
+    for n, k in counts:
+        if words_ + k > most:
+            break
+        least, words_ = n, words_ + k
+    return max(least, 3), words_
+
+
+def _rare(docs: DataFrame, table: DataFrame, sent, held_percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs with a word that isn't sent: (key, v, w, held, k) by text, and their counts and those of their words, both spooled."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
         for batch in batches:
             a, held = string_array(batch.column(1)), _held(batch, held_percent)
             for i, j in slices(a, _SLICE):
                 h, rows = _words(a.slice(i, j - i))
-                before = np.empty_like(h)
-                before[1:] = h[:-1]
-                before[rows[:-1][rows[1:] > rows[:-1]]] = _START
-                row = np.repeat(np.arange(i, j), np.diff(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), pa.array(before.view(np.int64)), pa.array(h.view(np.int64)), pa.array(held[row])], names=["th", "v", "w", "held"])
-
-    seen = spool(_keyed(docs).mapInArrow(emit, "th long, v long, w long, held boolean").groupBy("th", "v", "w", "held").agg(F.count("*").alias("k")), "pairs")
+                there = vocabulary.find(h) < len(vocabulary.hashes)
+                before, before_there = np.empty_like(h), np.ones_like(there)
+                before[1:], before_there[1:] = h[:-1], there[:-1]
+                first = rows[:-1][rows[1:] > rows[:-1]]
+                before[first], before_there[first] = _START, True
+                some = np.flatnonzero(~(there & before_there))
+                row = np.repeat(np.arange(i, j), np.diff(rows))[some]
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(row)), pa.array(before[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array(held[row])], names=["key", "v", "w", "held"])
+
+    seen = spool(_keyed(docs).mapInArrow(emit, "key long, v long, w long, held boolean").groupBy("key", "v", "w", "held").agg(F.count("*").alias("k")), "pairs")
     counted = seen.groupBy("v", "w").agg(F.sum("k").alias("c2"), F.sum(F.when(F.col("held"), F.col("k")).otherwise(0)).alias("c2_held"))
-    left, right = (table.select(F.col("h").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "n_train", "context", "context_train"))) for k in ("v", "w"))
-    known = spool(counted.join(left, "v").join(right, "w"), "counts")
+    left, right = table.select(F.col("h").alias("v"), "context", "context_train"), table.select(F.col("h").alias("w"), "n", "n_train")
+    return seen, spool(counted.join(left, "v").join(right, "w"), "counts")
+
 
+def _rare_cells(known: DataFrame, total_train: int) -> DataFrame:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                c2, held, context, word = (np.asarray(b.column(k)) for k in ("c2", "c2_held", "v_context_train", "w_n_train"))
-                yield from _histogram((c2 - held)[held > 0], context[held > 0], word[held > 0], held[held > 0], total_train or 0).to_batches()
+                c2, held, context, word = (np.asarray(b.column(k)) for k in ("c2", "c2_held", "context_train", "n_train"))
+                yield from _histogram((c2 - held)[held > 0], context[held > 0], word[held > 0], held[held > 0], total_train).to_batches()
+
+    return known.mapInArrow(cells, "b int, q2 int, q1 int, n long")
+
 
-    weights = _weights(known.mapInArrow(cells, "b int, q2 int, q1 int, n long"), size)
+def _rare_sums(docs: DataFrame, seen: DataFrame, known: DataFrame, total: int, size: int, weights: np.ndarray) -> DataFrame:
+    """(key, rest): what the pairs with a word that isn't sent add to the log_prob of a text."""
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value = log_probability(*(np.asarray(b.column(k)) for k in ("c2", "w_n", "v_context")), total, size, weights)
+            value = log_probability(*(np.asarray(b.column(k)) for k in ("c2", "n", "context")), total, size, weights)
             yield pa.RecordBatch.from_arrays([b.column("v"), b.column("w"), pa.array(value)], names=["v", "w", "value"])
 
-    sums = seen.join(known.mapInArrow(logs, "v long, w long, value double"), ["v", "w"]).groupBy("th").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("value")).alias("total"))
-    rows = _keyed(docs).select("doc_id", "th").withColumn("copies", F.lit(1))
-    copies = rows.groupBy("th").agg(F.sum("copies").alias("copies"))
-    one = copies.join(sums, "th", "left").select("th", F.coalesce(F.col("m") / F.col("copies"), F.lit(0)).cast("int").alias("n_words"), F.coalesce(F.col("total") / F.col("copies"), F.lit(0.0)).alias("log_prob"))
-    return rows.join(one, "th").select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))).alias("perplexity"))
+    sums = seen.join(known.mapInArrow(logs, "v long, w long, value double"), ["v", "w"]).groupBy("key").agg(F.sum(F.col("k") * F.col("value")).alias("sum"))
+    copies = _keyed(docs).groupBy("key").count()
+    return sums.join(copies, "key").select("key", (F.col("sum") / F.col("count")).alias("rest"))

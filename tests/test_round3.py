@@ -4,7 +4,9 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.functions import text as X
 from textloom.plans import catalog
 
 
@@ -38,3 +40,10 @@ def test_intervals_of_odd_rows(spark, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert (1, 192, 196, "purchase") in got and (3, -2, 7, "click") in got
+
+
+def test_luhn_of_long_keys(spark, tmp_path):
+    keys = [0, 18, 99_999, 100_000, 100_008, 899_999, 123_456_789_012, -18, -59, None]
+    got = same_as_sql(spark, "luhn_valid", tmp_path, customer=spark.createDataFrame([(k,) for k in keys], "c_custkey long"))
+    assert (100_000, True) in got and (100_008, False) in got
+    assert not spark.range(1).select(X.luhn(F.lit("100000")).alias("v")).first().v

@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,13 @@ def test_luhn_of_long_keys(spark, tmp_path):
     got = same_as_sql(spark, "luhn_valid", tmp_path, customer=spark.createDataFrame([(k,) for k in keys], "c_custkey long"))
     assert (100_000, True) in got and (100_008, False) in got
     assert not spark.range(1).select(X.luhn(F.lit("100000")).alias("v")).first().v
+
+
+def test_ngrams_in_slices(spark):
+    texts = [None if i % 97 == 5 else f"code {i} " * (i % 7) for i in range(2 * X.SLICE + 10)]
+    made = list(X.hashed_ngrams.func(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts[:3])])))
+    assert [len(m) for m in made] == [X.SLICE, X.SLICE, 10, 3]
+    plain = [None if t is None else list(X.ngram_vector(t, (False, "code" in t, False))) for t in texts]
+    assert [v for m in made for v in m.to_pylist()] == plain + plain[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [r.v for r in df.select("i", X.hashed_ngrams("t").alias("v")).orderBy("i").collect()] == plain

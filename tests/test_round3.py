@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import redaction
 from textloom.plans import catalog
 
 
@@ -58,3 +59,15 @@ def test_ngrams_in_slices(spark):
     assert [v for m in made for v in m.to_pylist()] == plain + plain[:3]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
     assert [r.v for r in df.select("i", X.hashed_ngrams("t").alias("v")).orderBy("i").collect()] == plain
+
+
+def test_redaction_in_slices(spark):
+    texts = [None if i % 89 == 7 else "mail a@example.com " * (i % 4) for i in range(X.SLICE + 20)]
+    made = list(redaction.sanitizer().func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [len(m) for m in made] == [X.SLICE, 20]
+    rows = [r for m in made for r in m.to_pylist()]
+    assert [r["text"] for r in rows] == [t if t is None else t.replace("a@example.com", "{{EMAIL}}") for t in texts]
+    assert [None if r["spans"] is None else [(s["token"], s["start"], s["end"]) for s in r["spans"]] for r in rows] == [None if t is None else redaction.merge_spans(redaction.spans_of(t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = [r.r for r in df.select("i", redaction.sanitizer()("t").alias("r")).orderBy("i").collect()]
+    assert [(r.text, r.spans and [s.token for s in r.spans]) for r in got] == [(r["text"], r["spans"] and [s["token"] for s in r["spans"]]) for r in rows]
